@@ -22,7 +22,7 @@ from assayflow.llm.common import bits_for, running_sum, stored, top_bits
 
 LENGTH, VOCABULARY, END_ID = 2048, "byte_bpe_50k", 0
 #: Groups of large lengths; lengths up to this part of a sequence are small.
-GROUPS, SMALL_PART = 96, 1 / 8
+GROUPS, SMALL_PART = 200, 0.4
 
 _encoders: dict = {}
 
