@@ -72,6 +72,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights=WEIGHTS, most_epochs: i
     )
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns, as often as it is taken.
+
+    Rows equal in id, source and number of words are taken equally often.
+    """
+    sized = docs.withColumn("__size", word_count(F.col(text_col)))
+    taken = mix(sized.select(id_col, "source", F.col("__size").alias("size")), id_col).groupBy(
+        F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words")
+    )
+    taken = taken.agg(F.max("repeats").alias("__repeats")).where("__repeats > 0")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words"))
+    return sized.join(taken, same).withColumn("__epoch", F.explode(F.sequence(F.lit(1), "__repeats"))).select(*docs.columns)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
