@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import stored
@@ -15,38 +15,46 @@ SMALL = 6
 MOST_BROADCAST_ROWS = 2_000_000
 
 
-def linked_pairs(members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL) -> DataFrame:
+def linked_pairs(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, growth: int = 1, split: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Verified links ``(a, b)``, a < b, that join similar members of the same bucket.
 
-    ``members``: ``(key long, id)``, distinct. Buckets of one member fall away at once: only keys and
+    ``members``: ``(key long, id, ...)``, distinct. Buckets of one member fall away at once: only keys and
     counts are shuffled for that, and the keys of the others are broadcast up to a bound. In a bucket of up to ``small``
-    members each pair is a candidate. In a larger one, each member is compared with the bucket's hub,
-    its smallest id; those that the hub doesn't verify form the bucket again and get their own
-    hub, until none is left: a bucket of copies takes one round and as many candidates as it has
-    members. Sizes and hubs are partial aggregates; the join that gives them to a hot bucket's members is split
-    at run time. ``verify`` gets distinct pairs and returns those that hold.
+    members each pair is a candidate. In a larger one, each member is compared with the bucket's hubs,
+    its smallest ids; those that no hub verifies form the bucket again: a bucket of copies takes one round and as many
+    candidates as it has members. In round r there are ``growth ** r`` hubs. ``split`` gives the members left over
+    finer keys instead of the same ones. Sizes and hubs are partial aggregates; the join that
+    gives them to a hot bucket's members is split at run time. ``verify`` gets distinct pairs and
+    returns those that hold.
     """
-    left, found = members, None
-    known = None
+    left, found, known, hubs = members, None, None, 1
     while True:
         sizes = stored(left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST_ROWS else sizes
-        grouped = stored(left.join(sizes, "key").select("key", "id", "n"), "buckets")
+        grouped = stored(left.join(sizes, "key"), "buckets")
         few = grouped.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
         pairs = few.select(F.explode(F.filter(F.flatten(F.transform("ids", lambda a: F.transform("ids", lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p["a"] < p["b"])).alias("p")).select("p.*")
-        hub = grouped.where(F.col("n") > small).groupBy("key").agg(F.min("id").alias("hub"))
-        large = grouped.where(F.col("n") > small).join(hub, "key").where("id != hub")
-        candidates = pairs.union(large.select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
+        large = grouped.where(F.col("n") > small)
+        if hubs == 1:
+            hub = large.groupBy("key").agg(F.min("id").alias("hub"))
+        else:  # the filter on the rank keeps each task's smallest ids before rows are dealt out
+            hub = large.select("key", F.col("id").alias("hub")).withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("hub"))).where(F.col("i") <= hubs).drop("i")
+        compared = large.join(hub, "key").where("id > hub")
+        candidates = pairs.union(compared.select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
         if known is not None:
             candidates = candidates.join(known, ["a", "b"], "left_anti")
         candidates = stored(candidates, "candidates")
         held = stored(verify(candidates), "links")
         found = held if found is None else found.union(held)
-        rest = large.join(found, (F.col("hub") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti").select("key", "id")
-        left = stored(rest, "rest")
+        met = compared.join(found, (F.col("hub") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("key", "id")
+        rest = large.join(hub.select("key", F.col("hub").alias("id")).union(met), ["key", "id"], "left_anti").drop("n")
+        left = stored(split(rest) if split else rest, "rest")
         if left.isEmpty():
             return found.distinct()
         known = candidates if known is None else known.union(candidates)
+        hubs *= growth
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
         return both.where(edit_similar(F.col("x"), F.col("y"), least)).select("a", "b")
 
-    links = linked_pairs(members, verify, small=16).select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
+    links = linked_pairs(members, verify, small=16, growth=4).select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
     roots = components(links)
     classed = distinct.join(roots, distinct["key"] == roots["id"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     classed = stored(classed, "classed")

@@ -207,7 +207,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row", "key")
     nodes = sketched.groupBy("same").agg(F.min(best).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.xxhash64("same")), "nodes")
-    members = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("key")).distinct()
+    members = nodes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
 
     # texts of the nodes that share a bucket with another, read again from the source
     shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -217,7 +217,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if texts.count() > some.count():  # rows equal in id and text
         texts = stored(texts.dropDuplicates(["node"]), "texts")
 
-    roots = components(linked_pairs(members.select("key", "id"), lambda pairs: verified(pairs, texts, least)))
+    def split(rest: DataFrame) -> DataFrame:
+        """Members of crowded buckets by a further band, so that chance company parts; similar ones share several bands."""
+        finer = rest.join(nodes.select(F.col("node").alias("id"), "bands"), "id").select("id", F.col("key").alias("was"), F.col("band").alias("from"), F.posexplode("bands").alias("band", "own"))
+        return finer.where("band > `from`").select(F.xxhash64("was", "own").alias("key"), "id", "band")
+
+    roots = components(linked_pairs(members.select("key", "id", "band"), lambda pairs: verified(pairs, texts, least), split=split))
     rooted = stored(nodes.join(roots, nodes["node"] == roots["id"], "left").select("same", "first", "n", F.coalesce("root", "node").alias("root")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
     named = rooted.join(groups, "root").select("same", F.col("best.id").alias("class_id"), "class_size", F.col("best.row").alias("best_row"))
@@ -231,7 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none); ``kept`` marks one row of each class, that of the smallest id. Documents with equal words, ignoring
     case, are one node from the start; so are documents without words. Nodes whose sketches agree in
     a band are candidates, buckets are linked by :func:`graph.linked_pairs`, and a link holds if the
-    word edit similarity is at least ``least``. Null ids come last; null texts count as empty; an
+    word edit similarity is at least ``least``. What the first document of a crowded bucket doesn't
+    resemble is bucketed again by that band and each later one, and so on: documents that merely share a common
+    passage part ways, and similar ones meet in the bands that they also share. Null ids come last; null texts count as empty; an
     empty table gives an empty result; other columns are not read.
     """
     return near_classes(docs, id_col, text_col, least).drop("key")
