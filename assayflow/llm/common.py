@@ -70,6 +70,17 @@ def running_sum(df: DataFrame, group: str, bucket: str, order: list, weight: str
     )
 
 
+def id_text(id_col: str) -> Column:
+    """An id on its way through Python, where long integers beside nulls would become doubles."""
+    return F.col(id_col).cast("string").alias("id")
+
+
+def id_back(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """The column ``id`` under its name and type in ``docs`` again, first."""
+    rest = [c for c in df.columns if c != "id"]
+    return df.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *rest)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

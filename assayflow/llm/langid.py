@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayflow.llm.common import id_back, id_text
+
 #: n-gram lengths, hash buckets, and labelled documents that a model is fitted on at most (in expectation).
 ORDERS, BUCKET_BITS, MOST_TRAINING = (1, 2, 3), 15, 20_000
 #: Characters scored at a time.
@@ -109,8 +111,8 @@ def predict(docs: DataFrame, names: list[str], log_prob: np.ndarray, id_col: str
                 pred[i], score[i] = langs[best], odds[best] / odds.sum()
             yield pd.DataFrame({"id": batch["id"], "lang_pred": pred, "score": score})
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, f"id {dict(docs.dtypes)[id_col]}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    source = docs.select(id_text(id_col), F.col(text_col).alias("text"))
+    return id_back(source.mapInPandas(run, "id string, lang_pred string, score double"), docs, id_col)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayflow.llm.common import id_back, id_text
+
 # Fixed values: (license, template name, wording). Holders, years and titles are left out.
 TEMPLATES = (
     ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
@@ -132,9 +134,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     names = ["id", "block", "start", "end", "license", "template", "reduction", "coverage", "added", "removed", "verdict"]
     schema = "block int, start int, end int, license string, template string, reduction double, coverage double, added array<string>, removed array<string>, verdict string"
-    kind = dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CUES))
-    return source.mapInPandas(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    source = docs.select(id_text(id_col), F.col(text_col).alias("text")).where(F.col("text").rlike(CUES))
+    return id_back(source.mapInPandas(run, f"id string, {schema}"), docs, id_col)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

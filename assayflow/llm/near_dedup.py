@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import WORD, stored
+from assayflow.llm.common import WORD, id_text, stored
 from assayflow.llm.graph import components, linked_pairs
 
 #: Words of a shingle; least similarity; minima kept in order for each hash; hashes of a band; bands.
@@ -198,10 +198,9 @@ def text_key(id_col: str, text_col: str):
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document: ``(id, key, class_id, class_size, kept)``; see :func:`near_duplicates`."""
-    source = docs.select(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    kind = dict(docs.dtypes)[id_col]
-    sketched = source.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_words_of, f"id {kind}, key long, row long, same binary, bands array<long>")
-    sketched = stored(sketched, "sketches")
+    source = docs.select(id_text(id_col), text_key(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    sketched = source.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_words_of, "id string, key long, row long, same binary, bands array<long>")
+    sketched = stored(sketched.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)), "sketches")
 
     # a node for each sequence of words: its first row and how many rows it has
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row", "key")

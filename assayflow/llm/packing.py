@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import bits_for, running_sum, stored, top_bits
+from assayflow.llm.common import bits_for, id_back, id_text, running_sum, stored, top_bits
 
 LENGTH, VOCABULARY, END_ID = 2048, "byte_bpe_50k", 0
 #: Groups of large lengths; lengths up to this part of a sequence are small.
@@ -61,11 +61,10 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, most: int, vocabulary
                 for doc, text in zip(part["id"], part["text"]):
                     ids = np.array([*enc.encode_ordinary(text), END_ID], "<u4")
                     out += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(len(ids), most))]
-                yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"]).astype({"id": "Int64"} if kind in ("bigint", "int") else {})
+                yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
 
-    kind = dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return source.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    source = docs.select(id_text(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
+    return source.mapInPandas(run, "id string, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:
@@ -250,8 +249,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
         pieces.withColumns({"__run": top_bits(key, bits_for(n)), "__one": F.lit(1)}), "length", "__run", [F.col("id").asc_nulls_first(), "piece", "ids_crc32"], "__one", "rank"
     ).drop("__run", "__one")
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long"))
-    schema = f"id {dict(pieces.dtypes)['id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInPandas(place, schema).withColumnRenamed("id", id_col)
+    schema = "id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return id_back(ranked.mapInPandas(place, schema), docs, id_col)
 
 
 def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import WORD
+from assayflow.llm.common import WORD, id_back, id_text
 
 #: Base rule: fewest words; most words, in percent, that stand in repeated windows of this many words.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
@@ -89,7 +89,8 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         for lang, own in classes.items():
             yield flat(lang, "c", map(str, range(len(own))), own)
         for lang, mine in words.items():
-            yield flat(lang, "w", mine.keys(), mine.values())
+            if mine:
+                yield flat(lang, "w", mine.keys(), mine.values())
 
     def flat(lang, kind, keys, values):
         return pd.DataFrame({"lang": lang, "kind": kind, "key": list(keys), "share": list(values)})
@@ -170,8 +171,8 @@ def judge(docs: DataFrame, refs: dict, id_col: str = "doc_id", text_col: str = "
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return source.mapInPandas(run, f"id {dict(docs.dtypes)[id_col]}, {schema}").withColumnRenamed("id", id_col)
+    source = docs.select(id_text(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
+    return id_back(source.mapInPandas(run, f"id string, {schema}"), docs, id_col)
 
 
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayflow.llm.common import id_back, id_text
+
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 # HTML elements whose text is not content, and those that end a line.
 HIDDEN = frozenset("script style template noscript title head".split())
@@ -200,16 +202,16 @@ def derivatives(records: DataFrame, key_col: str = "key", record_col: str = "rec
     Null records and records of other types give none. Repeated records give equal ids. An empty table
     gives an empty result; other columns are not read.
     """
-    names = ["key", *(x.split()[0] for x in SCHEMA.split(", "))]
+    names = ["id", *(x.split()[0] for x in SCHEMA.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.iloc[at : at + 128]
-                yield pd.DataFrame([(key, *row) for key, record in zip(part["key"], part["record"]) for row in derive(bytes(record))], columns=names)
+                yield pd.DataFrame([(key, *row) for key, record in zip(part["id"], part["record"]) for row in derive(bytes(record))], columns=names)
 
-    source = records.select(F.col(key_col).alias("key"), F.col(record_col).alias("record")).where("record is not null")
-    return source.mapInPandas(run, f"key {dict(records.dtypes)[key_col]}, {SCHEMA}").withColumnRenamed("key", key_col)
+    source = records.select(id_text(key_col), F.col(record_col).alias("record")).where("record is not null")
+    return id_back(source.mapInPandas(run, f"id string, {SCHEMA}"), records, key_col)
 
 
 def responses(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -219,8 +221,8 @@ def responses(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "record": [response(*x) for x in zip(batch["id"], batch["url"], batch["html"])]})
 
-    source = pages.select(F.col(id_col).alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    return source.mapInPandas(run, f"id {dict(pages.dtypes)[id_col]}, record binary").withColumnRenamed("id", id_col)
+    source = pages.select(id_text(id_col), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return id_back(source.mapInPandas(run, "id string, record binary"), pages, id_col)
 
 
 def records_of(data: bytes) -> Iterator[bytes]:
