@@ -16,7 +16,7 @@ MOST_BROADCAST_ROWS = 2_000_000
 
 
 def linked_pairs(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, growth: int = 1, split: Callable[[DataFrame], DataFrame] | None = None
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, first_hubs: int = 1, growth: int = 4, most_hubs: int = 1 << 20, split: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """Verified links ``(a, b)``, a < b, that join similar members of the same bucket.
 
@@ -24,12 +24,12 @@ def linked_pairs(
     counts are shuffled for that, and the keys of the others are broadcast up to a bound. In a bucket of up to ``small``
     members each pair is a candidate. In a larger one, each member is compared with the bucket's hubs,
     its smallest ids; those that no hub verifies form the bucket again: a bucket of copies takes one round and as many
-    candidates as it has members. In round r there are ``growth ** r`` hubs. ``split`` gives the members left over
-    finer keys instead of the same ones. Sizes and hubs are partial aggregates; the join that
+    candidates as it has members. The first round has ``first_hubs`` hubs, and each later one ``growth`` times those of the last, up to ``most_hubs``. ``split`` gives the members
+    that are left over after the second round finer keys instead of the same ones. Sizes and hubs are partial aggregates; the join that
     gives them to a hot bucket's members is split at run time. ``verify`` gets distinct pairs and
     returns those that hold.
     """
-    left, found, known, hubs = members, None, None, 1
+    left, found, known, hubs = members, None, None, first_hubs
     while True:
         sizes = stored(left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST_ROWS else sizes
@@ -50,11 +50,11 @@ def linked_pairs(
         found = held if found is None else found.union(held)
         met = compared.join(found, (F.col("hub") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("key", "id")
         rest = large.join(hub.select("key", F.col("hub").alias("id")).union(met), ["key", "id"], "left_anti").drop("n")
-        left = stored(split(rest) if split else rest, "rest")
+        left = stored(split(rest) if split and hubs > 1 else rest, "rest")
         if left.isEmpty():
             return found.distinct()
         known = candidates if known is None else known.union(candidates)
-        hubs *= growth
+        hubs = min(hubs * growth, most_hubs)
 
 
 def components(links: DataFrame) -> DataFrame:

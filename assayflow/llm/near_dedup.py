@@ -218,10 +218,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def split(rest: DataFrame) -> DataFrame:
         """Members of crowded buckets by a further band, so that chance company parts; similar ones share several bands."""
-        finer = rest.join(nodes.select(F.col("node").alias("id"), "bands"), "id").select("id", F.col("key").alias("was"), F.col("band").alias("from"), F.posexplode("bands").alias("band", "own"))
-        return finer.where("band > `from`").select(F.xxhash64("was", "own").alias("key"), "id", "band")
+        later = F.slice("bands", F.col("was") + 2, F.greatest(F.lit(BANDS - 1) - F.col("was"), F.lit(0)))
+        own = nodes.select(F.col("node").alias("id"), "bands")
+        finer = rest.withColumnsRenamed({"band": "was", "key": "from"}).join(own, "id").select("id", "was", "from", F.posexplode(later).alias("i", "own"))
+        return finer.select(F.xxhash64("from", "own").alias("key"), "id", (F.col("was") + 1 + F.col("i")).alias("band"))
 
-    roots = components(linked_pairs(members.select("key", "id", "band"), lambda pairs: verified(pairs, texts, least), split=split))
+    roots = components(linked_pairs(members.select("key", "id", "band"), lambda pairs: verified(pairs, texts, least), small=10, most_hubs=4, split=split))
     rooted = stored(nodes.join(roots, nodes["node"] == roots["id"], "left").select("same", "first", "n", F.coalesce("root", "node").alias("root")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
     named = rooted.join(groups, "root").select("same", F.col("best.id").alias("class_id"), "class_size", F.col("best.row").alias("best_row"))
