@@ -15,8 +15,13 @@ SMALL = 6
 MOST_BROADCAST_ROWS = 2_000_000
 
 
+def crowds(members: DataFrame) -> DataFrame:
+    """``(key, n)`` of the buckets that have several members."""
+    return stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+
+
 def linked_pairs(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, first_hubs: int = 1, growth: int = 4, most_hubs: int = 1 << 20, split: Callable[[DataFrame], DataFrame] | None = None
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, first_hubs: int = 1, growth: int = 4, most_hubs: int = 1 << 20, split: Callable[[DataFrame], DataFrame] | None = None, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Verified links ``(a, b)``, a < b, that join similar members of the same bucket.
 
@@ -25,13 +30,14 @@ def linked_pairs(
     members each pair is a candidate. In a larger one, each member is compared with the bucket's hubs,
     its smallest ids; those that no hub verifies form the bucket again: a bucket of copies takes one round and as many
     candidates as it has members. The first round has ``first_hubs`` hubs, and each later one ``growth`` times those of the last, up to ``most_hubs``. ``split`` gives the members
-    that are left over after the second round finer keys instead of the same ones. Sizes and hubs are partial aggregates; the join that
+    that are left over after the second round finer keys instead of the same ones. ``sizes`` is :func:`crowds` of the members, where it is known. Sizes and hubs are partial aggregates; the join that
     gives them to a hot bucket's members is split at run time. ``verify`` gets distinct pairs and
     returns those that hold.
     """
     left, found, known, hubs = members, None, None, first_hubs
     while True:
-        sizes = stored(left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        if sizes is None:
+            sizes = crowds(left)
         sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST_ROWS else sizes
         grouped = stored(left.join(sizes, "key"), "buckets")
         few = grouped.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -54,7 +60,7 @@ def linked_pairs(
         if left.isEmpty():
             return found.distinct()
         known = candidates if known is None else known.union(candidates)
-        hubs = min(hubs * growth, most_hubs)
+        sizes, hubs = None, min(hubs * growth, most_hubs)
 
 
 def components(links: DataFrame) -> DataFrame:

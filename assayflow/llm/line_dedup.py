@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import stored
-from assayflow.llm.graph import components, linked_pairs
+from assayflow.llm.graph import components, crowds, linked_pairs
 
 #: SimHash blocks (64 bits in all), and how many of them two lines share to be compared: lines that
 #: differ in BLOCKS - SHARED bits at most always share so many.
@@ -16,11 +16,11 @@ BLOCKS, SHARED = 6, 3
 #: Least edit similarity; most different SimHash bits of a pair whose texts are compared.
 SIMILARITY, MOST_BITS = 0.8, 12
 #: Lines of more characters are aligned word by word.
-LONG_LINE = 2000
+LONG_LINE = 200
+#: Lines of more characters have their words summed in wider lanes.
+WIDE_LINE = 100_000
 #: Keys that are broadcast at most; beyond, the join is by shuffle.
 MOST_BROADCAST_ROWS = 2_000_000
-#: Two 32-bit lanes of a long.
-LANES = 0x0000000100000001
 
 
 def normalised_line(line: Column) -> Column:
@@ -33,27 +33,28 @@ def doc_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit("")))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, id, line, norm, key)`` for each line with a letter or digit."""
-    source = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
-    return source.select("doc", "id", "line", normalised_line(F.col("raw")).alias("norm")).where("norm != ''").withColumn("key", F.xxhash64("norm"))
+def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, id, line, raw)`` for each line."""
+    return docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """``(doc, id, line, key, sim)``: the SimHash of each line's words.
+def simhashes(lines: DataFrame, lane_bits: int) -> DataFrame:
+    """``(doc, id, line, key, sim)`` for each line with a letter or digit: the key of its normal form, the SimHash of its words.
 
-    Bits of the word hashes are summed two at a time, in the two lanes of a long; a bit is set if
-    more than half of the words have it.
+    Bits of the word hashes are summed several at a time, in lanes of ``lane_bits`` bits of a long; a bit is set if more
+    than half of the words have it. A lane holds as many words as a line has.
     """
-    h = F.col("h")
-    sums = [F.sum(F.shiftright(h, i).bitwiseAND(F.lit(LANES))).alias(f"s{i}") for i in range(32)]
-    words = lines.select("doc", "id", "line", "key", F.explode(F.split("norm", " ")).alias("w")).withColumn("h", F.xxhash64(F.lit("sim"), "w"))
+    lanes = 64 // lane_bits
+    ones = sum(1 << (lane_bits * i) for i in range(lanes))
+    sums = [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(ones))).alias(f"s{i}") for i in range(lane_bits)]
+    normal = lines.select("doc", "id", "line", normalised_line(F.col("raw")).alias("norm")).where("norm != ''")
+    words = normal.select("doc", "id", "line", F.xxhash64("norm").alias("key"), F.explode(F.split("norm", " ")).alias("w")).withColumn("h", F.xxhash64(F.lit("sim"), "w"))
     summed = words.groupBy("doc", "id", "line", "key").agg(F.count("*").alias("n"), *sums)
     sim = F.lit(0).cast("long")
-    for i in range(32):
-        low, high = F.col(f"s{i}").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.col(f"s{i}"), 32)
-        for at, x in ((i, low), (i + 32, high)):
-            sim = sim.bitwiseOR(F.when(2 * x > F.col("n"), F.lit((1 << at) - (1 << 64 if at == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    for i in range(lane_bits):
+        for lane in range(lanes):
+            at, count = i + lane_bits * lane, F.shiftrightunsigned(F.col(f"s{i}"), lane_bits * lane).bitwiseAND(F.lit((1 << lane_bits) - 1))
+            sim = sim.bitwiseOR(F.when(2 * count > F.col("n"), F.lit((1 << at) - (1 << 64 if at == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
     return summed.select("doc", "id", "line", "key", sim.alias("sim"))
 
 
@@ -70,14 +71,14 @@ def as_characters(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-16BE")
 
 
-def edit_similar(x: Column, y: Column, least: float = SIMILARITY) -> Column:
-    """Whether 1 - edits / longer length is at least ``least``: characters, or words of long lines."""
+def edit_similar(x: Column, y: Column, wx: Column, wy: Column, least: float = SIMILARITY) -> Column:
+    """Whether 1 - edits / longer length is at least ``least``: of the characters, or of the words (as characters) of long lines."""
 
     def near(a: Column, b: Column) -> Column:
         most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - least) + 1e-9).cast("int")
         return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).otherwise(F.call_function("levenshtein", a, b, most) >= 0)
 
-    return F.when(F.greatest(F.length(x), F.length(y)) <= LONG_LINE, near(x, y)).otherwise(near(as_characters(x), as_characters(y)))
+    return F.when(F.greatest(F.length(x), F.length(y)) <= LONG_LINE, near(x, y)).otherwise(near(wx, wy))
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -86,25 +87,33 @@ def _few(keys: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Lines that go: ``(doc, line, keep_id, keep_line)``; ``doc`` is :func:`doc_key`, lines count from 0."""
-    lines = lines_of(docs, id_col, text_col)
-    found = stored(simhashes(lines), "lines")
+    lines = raw_lines(docs, id_col, text_col)
+    usual, wide = (simhashes(lines.where(f"length(raw) {which} {WIDE_LINE}"), n) for which, n in (("<=", 16), (">", 32)))
+    found = stored(usual.unionByName(wide), "lines")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "line", "doc")
     distinct = stored(found.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.any_value("sim").alias("sim")), "distinct")
 
     members = distinct.select(F.explode(block_keys(F.col("sim"))).alias("key"), F.struct(F.col("key").alias("line"), "sim").alias("id"))
 
+    # texts of the lines that share a block key with another: documents by key, then their lines by number
+    keys = members.select("key", "id.line")
+    sizes = crowds(members)
+    wanted = keys.join(_few(sizes), "key", "left_semi").select(F.col("line").alias("key")).distinct().join(distinct, "key")
+    wanted = stored(wanted.select("key", F.col("first.doc").alias("doc"), F.col("first.line").alias("line")), "wanted")
+    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "line")).alias("wanted"))
+    here = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.split(text_col, "\n").alias("raw")).join(_few(stored(by_doc, "wanted-docs")), "doc")
+    texts = here.select("raw", F.explode("wanted").alias("w")).select("w.key", normalised_line(F.element_at("raw", F.col("w.line") + 1)).alias("norm"))
+    texts = stored(texts.withColumn("words", F.when(F.length("norm") > LONG_LINE * (1 - least), as_characters(F.col("norm")))), "line-texts")
+    if texts.count() > wanted.count():  # rows equal in id and text
+        texts = stored(texts.dropDuplicates(["key"]), "line-texts")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        close = stored(pairs.where(F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= MOST_BITS), "close")
-        wanted = stored(close.select("a.line").union(close.select("b.line")).distinct().withColumnRenamed("line", "key").join(distinct, "key").select("key", F.col("first.doc").alias("doc"), F.col("first.line").alias("line")), "wanted")
-        texts = stored(lines.join(_few(wanted), ["doc", "line", "key"]).select("key", "norm"), "line-texts")
-        if texts.count() > wanted.count():  # rows equal in id and text
-            texts = stored(texts.dropDuplicates(["key"]), "line-texts")
-        both = close.join(texts.select(F.col("key").alias("__b"), F.col("norm").alias("y")), F.col("b.line") == F.col("__b")).join(
-            texts.select(F.col("key").alias("__a"), F.col("norm").alias("x")), F.col("a.line") == F.col("__a")
-        )
-        return both.where(edit_similar(F.col("x"), F.col("y"), least)).select("a", "b")
-
-    links = linked_pairs(members, verify, small=16, growth=4).select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
+        close = pairs.where(F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= MOST_BITS)
+        one, two = (texts.select(F.col("key").alias(f"__{n}"), F.col("norm").alias(t), F.col("words").alias(f"w{t}")) for n, t in (("b", "y"), ("a", "x")))
+        both = close.join(one, F.col("b.line") == F.col("__b")).join(two, F.col("a.line") == F.col("__a"))
+        return both.where(edit_similar(F.col("x"), F.col("y"), F.col("wx"), F.col("wy"), least)).select("a", "b")
+
+    links = linked_pairs(members, verify, small=16, first_hubs=4, sizes=sizes).select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
     roots = components(links)
     classed = distinct.join(roots, distinct["key"] == roots["id"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     classed = stored(classed, "classed")

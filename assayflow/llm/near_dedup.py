@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import WORD, id_text, stored
-from assayflow.llm.graph import components, linked_pairs
+from assayflow.llm.graph import components, crowds, linked_pairs
 
 #: Words of a shingle; least similarity; minima kept in order for each hash; hashes of a band; bands.
 SHINGLE, SIMILARITY, ORDERED, ROWS, BANDS = 5, 0.8, 2, 2, 16
@@ -209,8 +209,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = nodes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
 
     # texts of the nodes that share a bucket with another, read again from the source
-    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    some = stored(members.join(shared, "key", "left_semi").select(F.col("id").alias("node")).distinct().join(nodes.select("node", F.col("first.key").alias("key")), "node"), "involved")
+    sizes = crowds(members)
+    some = stored(members.join(F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST_ROWS else sizes, "key", "left_semi").select(F.col("id").alias("node")).distinct().join(nodes.select("node", F.col("first.key").alias("key")), "node"), "involved")
     texts = source.select("key", "text").join(F.broadcast(some) if some.count() <= MOST_BROADCAST_ROWS else some, "key")
     texts = stored(texts.select("node", "text"), "texts")
     if texts.count() > some.count():  # rows equal in id and text
@@ -223,7 +223,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         finer = rest.withColumnsRenamed({"band": "was", "key": "from"}).join(own, "id").select("id", "was", "from", F.posexplode(later).alias("i", "own"))
         return finer.select(F.xxhash64("from", "own").alias("key"), "id", (F.col("was") + 1 + F.col("i")).alias("band"))
 
-    roots = components(linked_pairs(members.select("key", "id", "band"), lambda pairs: verified(pairs, texts, least), small=10, most_hubs=4, split=split))
+    roots = components(linked_pairs(members.select("key", "id", "band"), lambda pairs: verified(pairs, texts, least), small=10, most_hubs=4, split=split, sizes=sizes))
     rooted = stored(nodes.join(roots, nodes["node"] == roots["id"], "left").select("same", "first", "n", F.coalesce("root", "node").alias("root")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
     named = rooted.join(groups, "root").select("same", F.col("best.id").alias("class_id"), "class_size", F.col("best.row").alias("best_row"))

@@ -174,7 +174,8 @@ def test_line_similarity(spark):
     rows = [("abcdefghij", "abcdefghiX", True), ("abcdefghij", "abcdefgXYZ", False), ("a b", "", False)]
     rows.append((" ".join(words(900, 1, 9999)), " ".join(["x", *words(900, 1, 9999)[1:]]), True))
     df = spark.createDataFrame(rows, "x string, y string, want boolean")
-    assert df.where(line_dedup.edit_similar(F.col("x"), F.col("y")) != F.col("want")).count() == 0
+    words_of = [line_dedup.as_characters(F.col(c)) for c in "xy"]
+    assert df.where(line_dedup.edit_similar(F.col("x"), F.col("y"), *words_of) != F.col("want")).count() == 0
 
 
 def test_line_verdicts_of_odd_rows(odd):
