@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import stored
 
 #: Buckets of up to so many members have all their pairs compared; larger ones go by hubs.
 SMALL = 6
+#: Rounds with hubs, before all pairs that are still apart are compared; members of a block then.
+ROUNDS, BLOCK = 2, 1024
 #: Keys of buckets (8 bytes each) that are broadcast at most; beyond, their members are joined by shuffle.
 MOST_BROADCAST_ROWS = 2_000_000
 
@@ -20,22 +22,39 @@ def crowds(members: DataFrame) -> DataFrame:
     return stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
 
 
+def pairs_apart(crowded: DataFrame, holds: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """All pairs ``(a, b)``, a < b, of members of the same bucket that have different roots.
+
+    ``crowded``: ``(key, id, root, n)``, n members in the bucket. Buckets are cut into blocks of about ``BLOCK`` members, and
+    the pairs of two blocks are made by one task. ``holds`` is a condition on the two ids that the join checks.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = crowded.withColumns({"own": F.pmod(F.xxhash64("id"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    one = own.select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("a"), F.col("root").alias("ra"))
+    two = own.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("root").alias("rb"))
+    both = one.join(two, ["key", "i", "j"]).where("a < b and ra != rb")
+    return (both if holds is None else both.where(holds(F.col("a"), F.col("b")))).select("a", "b")
+
+
 def linked_pairs(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, first_hubs: int = 1, growth: int = 4, most_hubs: int = 1 << 20, split: Callable[[DataFrame], DataFrame] | None = None, sizes: DataFrame | None = None
-) -> DataFrame:
-    """Verified links ``(a, b)``, a < b, that join similar members of the same bucket.
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, first_hubs: int = 1, growth: int = 4, most_hubs: int = 1 << 20, split: Callable[[DataFrame], DataFrame] | None = None, sizes: DataFrame | None = None,
+    apart: Callable[[DataFrame], DataFrame] = pairs_apart, node: Callable[[Column], Column] = lambda c: c,
+) -> DataFrame:
+    """Verified links ``(a, b)``, a < b, that connect all similar members of the same bucket.
 
     ``members``: ``(key long, id, ...)``, distinct. Buckets of one member fall away at once: only keys and
     counts are shuffled for that, and the keys of the others are broadcast up to a bound. In a bucket of up to ``small``
-    members each pair is a candidate. In a larger one, each member is compared with the bucket's hubs,
+    members each pair is a candidate. In a larger one, each member is first compared with the bucket's hubs,
     its smallest ids; those that no hub verifies form the bucket again: a bucket of copies takes one round and as many
-    candidates as it has members. The first round has ``first_hubs`` hubs, and each later one ``growth`` times those of the last, up to ``most_hubs``. ``split`` gives the members
-    that are left over after the second round finer keys instead of the same ones. ``sizes`` is :func:`crowds` of the members, where it is known. Sizes and hubs are partial aggregates; the join that
+    candidates as it has members. The first of ``ROUNDS`` rounds has ``first_hubs`` hubs, and each later one ``growth`` times those of the last, up to ``most_hubs``. ``split`` gives the members
+    that are left over after the second round finer keys instead of the same ones. Similarity isn't transitive, so in the end all
+    pairs of a crowded bucket that the links so far don't connect are candidates: ``apart`` finds them among ``(key, id, root, n)``, and may leave out
+    pairs that can't hold. ``node`` is what stands for an id in the components. ``sizes`` is :func:`crowds` of the members, where it is known. Sizes and hubs are partial aggregates; the join that
     gives them to a hot bucket's members is split at run time. ``verify`` gets distinct pairs and
     returns those that hold.
     """
-    left, found, known, hubs = members, None, None, first_hubs
-    while True:
+    left, found, known, hubs, crowded = members, None, None, first_hubs, None
+    for _ in range(ROUNDS):
         if sizes is None:
             sizes = crowds(left)
         sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST_ROWS else sizes
@@ -43,6 +62,7 @@ def linked_pairs(
         few = grouped.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
         pairs = few.select(F.explode(F.filter(F.flatten(F.transform("ids", lambda a: F.transform("ids", lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p["a"] < p["b"])).alias("p")).select("p.*")
         large = grouped.where(F.col("n") > small)
+        crowded = large if crowded is None else crowded
         if hubs == 1:
             hub = large.groupBy("key").agg(F.min("id").alias("hub"))
         else:  # the filter on the rank keeps each task's smallest ids before rows are dealt out
@@ -54,13 +74,21 @@ def linked_pairs(
         candidates = stored(candidates, "candidates")
         held = stored(verify(candidates), "links")
         found = held if found is None else found.union(held)
+        known = candidates if known is None else known.union(candidates)
         met = compared.join(found, (F.col("hub") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("key", "id")
         rest = large.join(hub.select("key", F.col("hub").alias("id")).union(met), ["key", "id"], "left_anti").drop("n")
         left = stored(split(rest) if split and hubs > 1 else rest, "rest")
         if left.isEmpty():
-            return found.distinct()
-        known = candidates if known is None else known.union(candidates)
+            break
         sizes, hubs = None, min(hubs * growth, most_hubs)
+    if crowded.isEmpty():
+        return found.distinct()
+    roots = components(found.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b"))).withColumnRenamed("id", "__node")
+    rooted = stored(crowded.select("key", "id", "n").join(roots, node(F.col("id")) == F.col("__node"), "left").select("key", "id", F.coalesce("root", node(F.col("id"))).alias("root"), "n"), "rooted")
+    open_ = stored(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "open")
+    open_ = F.broadcast(open_) if open_.count() <= MOST_BROADCAST_ROWS else open_
+    candidates = stored(apart(rooted.join(open_, "key")).distinct().join(known, ["a", "b"], "left_anti"), "candidates")
+    return found.union(stored(verify(candidates), "links")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

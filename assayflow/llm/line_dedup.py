@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import stored
-from assayflow.llm.graph import components, crowds, linked_pairs
+from assayflow.llm.graph import components, crowds, linked_pairs, pairs_apart
 
 #: SimHash blocks (64 bits in all), and how many of them two lines share to be compared: lines that
 #: differ in BLOCKS - SHARED bits at most always share so many.
@@ -107,13 +107,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if texts.count() > wanted.count():  # rows equal in id and text
         texts = stored(texts.dropDuplicates(["key"]), "line-texts")
 
+    near = lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= MOST_BITS
+
     def verify(pairs: DataFrame) -> DataFrame:
-        close = pairs.where(F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= MOST_BITS)
+        close = pairs.where(near(F.col("a"), F.col("b")))
         one, two = (texts.select(F.col("key").alias(f"__{n}"), F.col("norm").alias(t), F.col("words").alias(f"w{t}")) for n, t in (("b", "y"), ("a", "x")))
         both = close.join(one, F.col("b.line") == F.col("__b")).join(two, F.col("a.line") == F.col("__a"))
         return both.where(edit_similar(F.col("x"), F.col("y"), F.col("wx"), F.col("wy"), least)).select("a", "b")
 
-    links = linked_pairs(members, verify, small=16, first_hubs=4, sizes=sizes).select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
+    links = linked_pairs(members, verify, small=16, first_hubs=4, sizes=sizes, apart=lambda crowded: pairs_apart(crowded, near), node=lambda c: c["line"]).select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
     roots = components(links)
     classed = distinct.join(roots, distinct["key"] == roots["id"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     classed = stored(classed, "classed")

@@ -203,6 +203,19 @@ def test_linked_pairs_and_components(spark):
     assert graph.components(chain.limit(0)).count() == 0
 
 
+def test_stars_and_chains_in_crowded_buckets_stay_whole(spark):
+    n = 40
+    chain, star = {(i, i + 1) for i in range(n - 1)}, {(100 + i, 139) for i in range(n - 1)}
+    other = {(200, 200 + i) for i in range(1, 20)} | {(210, 220 + i) for i in range(19)}  # met by the hub, and like those it isn't
+    links = spark.createDataFrame(sorted(chain | star | other), "a long, b long")
+    members = spark.createDataFrame([(k, k * 100 + i) for k in range(3) for i in range(n)], "key long, id long")
+    found = graph.linked_pairs(members, lambda pairs: pairs.join(F.broadcast(links), ["a", "b"], "left_semi"), small=10)
+    root = {k * 100 + i: k * 100 + i for k in range(3) for i in range(n)}
+    for a, b in (tuple(r) for r in found.collect()):
+        root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
+    assert root == {**{k * 100 + i: k * 100 for k in range(3) for i in range(n)}, 239: 239}
+
+
 # ---- near duplicates ----
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
