@@ -37,7 +37,7 @@ def pairs_apart(crowded: DataFrame, holds: Callable[[Column, Column], Column] |
 
 
 def linked_pairs(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, first_hubs: int = 1, growth: int = 4, most_hubs: int = 1 << 20, split: Callable[[DataFrame], DataFrame] | None = None, sizes: DataFrame | None = None,
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, first_hubs: int = 1, growth: int = 4, most_hubs: int = 1 << 20, sizes: DataFrame | None = None,
     apart: Callable[[DataFrame], DataFrame] = pairs_apart, node: Callable[[Column], Column] = lambda c: c,
 ) -> DataFrame:
     """Verified links ``(a, b)``, a < b, that connect all similar members of the same bucket.
@@ -46,8 +46,7 @@ def linked_pairs(
     counts are shuffled for that, and the keys of the others are broadcast up to a bound. In a bucket of up to ``small``
     members each pair is a candidate. In a larger one, each member is first compared with the bucket's hubs,
     its smallest ids; those that no hub verifies form the bucket again: a bucket of copies takes one round and as many
-    candidates as it has members. The first of ``ROUNDS`` rounds has ``first_hubs`` hubs, and each later one ``growth`` times those of the last, up to ``most_hubs``. ``split`` gives the members
-    that are left over after the second round finer keys instead of the same ones. Similarity isn't transitive, so in the end all
+    candidates as it has members. The first of ``ROUNDS`` rounds has ``first_hubs`` hubs, and each later one ``growth`` times those of the last, up to ``most_hubs``. Similarity isn't transitive, so in the end all
     pairs of a crowded bucket that the links so far don't connect are candidates: ``apart`` finds them among ``(key, id, root, n)``, and may leave out
     pairs that can't hold. ``node`` is what stands for an id in the components. ``sizes`` is :func:`crowds` of the members, where it is known. Sizes and hubs are partial aggregates; the join that
     gives them to a hot bucket's members is split at run time. ``verify`` gets distinct pairs and
@@ -77,7 +76,7 @@ def linked_pairs(
         known = candidates if known is None else known.union(candidates)
         met = compared.join(found, (F.col("hub") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("key", "id")
         rest = large.join(hub.select("key", F.col("hub").alias("id")).union(met), ["key", "id"], "left_anti").drop("n")
-        left = stored(split(rest) if split and hubs > 1 else rest, "rest")
+        left = stored(rest, "rest")
         if left.isEmpty():
             break
         sizes, hubs = None, min(hubs * growth, most_hubs)

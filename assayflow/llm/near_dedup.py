@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import WORD, id_text, stored
-from assayflow.llm.graph import components, crowds, linked_pairs
+from assayflow.llm.graph import BLOCK, components, crowds, linked_pairs
 
 #: Words of a shingle; least similarity; minima kept in order for each hash; hashes of a band; bands.
 SHINGLE, SIMILARITY, ORDERED, ROWS, BANDS = 5, 0.8, 2, 2, 16
 #: Keys that are broadcast at most (8 to 16 bytes each); beyond, the join is by shuffle.
 MOST_BROADCAST_ROWS = 2_000_000
+#: Places of a text's counts of words by hash, which rule out pairs of a crowded bucket.
+BINS = 256
 #: Shingles hashed at a time.
 CHUNK = 1 << 15
 
@@ -191,6 +193,62 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def bag(words: np.ndarray) -> bytes:
+    """How many words have each hash modulo ``BINS``, in bytes (255 for more)."""
+    return np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(bags: np.ndarray, lengths: np.ndarray, one: np.ndarray, n: int, least: float = SIMILARITY) -> np.ndarray:
+    """Which texts, by their bags and numbers of words, can be similar to one text; never false for a similar pair.
+
+    An edit changes the lengths' difference by one at most, and the sum of the bags' differences by two.
+    """
+    most = ((1 - least) * np.maximum(lengths, n) + 1e-9).astype(np.int64)
+    return (np.abs(lengths - n) <= most) & (np.abs(bags - one).sum(axis=1, dtype=np.int64) <= 2 * most)
+
+
+def near_bags(crowded: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs of :func:`graph.pairs_apart` without those that the words' counts rule out; a task compares two blocks."""
+
+    def bags_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [word_hashes(text) for text in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "bag": [bag(w) for w in words], "words": [len(w) for w in words]})
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        first, second = (group[group["own"] == group[x].iloc[0]] for x in "ij")
+        ids, roots, lengths = (second[c].to_numpy(np.int64) for c in ("id", "root", "words"))
+        bags, out = np.frombuffer(b"".join(second["bag"]), np.uint8).reshape(-1, BINS).astype(np.int16), [np.zeros((0, 2), np.int64)]
+        for id_, root, one, n in zip(first["id"], first["root"], first["bag"], first["words"]):
+            other = roots != root
+            if group["i"].iloc[0] == group["j"].iloc[0]:
+                other &= ids > id_
+            at = np.flatnonzero(other)
+            at = at[may_be_similar(bags[at], lengths[at], np.frombuffer(one, np.uint8).astype(np.int16), n, least)]
+            out.append(np.stack((np.minimum(ids[at], id_), np.maximum(ids[at], id_)), axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs of rows of the same key and blocks, which may go on in the next batch."""
+        kept: list[pd.DataFrame] = []
+        for batch in batches:
+            for at, part in batch.groupby(["key", "i", "j"], sort=False):
+                if kept and at != tuple(kept[-1].iloc[-1][["key", "i", "j"]]):
+                    yield compare(pd.concat(kept))
+                    kept.clear()
+                kept.append(part)
+        if kept:
+            yield compare(pd.concat(kept))
+
+    some = stored(crowded.select(F.col("id").alias("node")).distinct(), "crowded")
+    bags = stored(texts.join(F.broadcast(some) if some.count() <= MOST_BROADCAST_ROWS else some, "node", "left_semi").mapInPandas(bags_of, "node long, bag binary, words long"), "bags")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = crowded.withColumns({"own": F.pmod(F.xxhash64("id"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
+    dealt = dealt.join(bags.withColumnRenamed("node", "id"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(groups, "a long, b long")
+
+
 def text_key(id_col: str, text_col: str):
     """What finds a row's text again: rows equal in it have equal ids and texts."""
     return F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit("")))
@@ -216,14 +274,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if texts.count() > some.count():  # rows equal in id and text
         texts = stored(texts.dropDuplicates(["node"]), "texts")
 
-    def split(rest: DataFrame) -> DataFrame:
-        """Members of crowded buckets by a further band, so that chance company parts; similar ones share several bands."""
-        later = F.slice("bands", F.col("was") + 2, F.greatest(F.lit(BANDS - 1) - F.col("was"), F.lit(0)))
-        own = nodes.select(F.col("node").alias("id"), "bands")
-        finer = rest.withColumnsRenamed({"band": "was", "key": "from"}).join(own, "id").select("id", "was", "from", F.posexplode(later).alias("i", "own"))
-        return finer.select(F.xxhash64("from", "own").alias("key"), "id", (F.col("was") + 1 + F.col("i")).alias("band"))
-
-    roots = components(linked_pairs(members.select("key", "id", "band"), lambda pairs: verified(pairs, texts, least), small=10, most_hubs=4, split=split, sizes=sizes))
+    roots = components(linked_pairs(members.select("key", "id"), lambda pairs: verified(pairs, texts, least), small=10, most_hubs=4, sizes=sizes, apart=lambda crowded: near_bags(crowded, texts, least)))
     rooted = stored(nodes.join(roots, nodes["node"] == roots["id"], "left").select("same", "first", "n", F.coalesce("root", "node").alias("root")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
     named = rooted.join(groups, "root").select("same", F.col("best.id").alias("class_id"), "class_size", F.col("best.row").alias("best_row"))
@@ -237,9 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none); ``kept`` marks one row of each class, that of the smallest id. Documents with equal words, ignoring
     case, are one node from the start; so are documents without words. Nodes whose sketches agree in
     a band are candidates, buckets are linked by :func:`graph.linked_pairs`, and a link holds if the
-    word edit similarity is at least ``least``. What the first document of a crowded bucket doesn't
-    resemble is bucketed again by that band and each later one, and so on: documents that merely share a common
-    passage part ways, and similar ones meet in the bands that they also share. Null ids come last; null texts count as empty; an
+    word edit similarity is at least ``least``. All pairs of a bucket, however crowded, are
+    compared unless links connect them already or their words' counts rule them out. Null ids come last; null texts count as empty; an
     empty table gives an empty result; other columns are not read.
     """
     return near_classes(docs, id_col, text_col, least).drop("key")

@@ -246,6 +246,31 @@ def test_sketch_is_sensitive_to_order():
     assert len(near_dedup.band_keys(near_dedup.word_hashes(""))) == 0 and len(near_dedup.band_keys(near_dedup.word_hashes("one"))) == near_dedup.BANDS
 
 
+def test_counts_of_words_never_rule_out_similar_texts():
+    r = random.Random(8)
+    for _ in range(500):
+        a = [r.choice("abcdefgh") for _ in range(r.randrange(1, 60))] + ["z"] * r.choice([0, 400])
+        b = list(a)
+        for _ in range(r.randrange(14)):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randrange(2)] = [r.choice("abcxyz")] * r.randrange(2)
+        x, y = (near_dedup.word_hashes(" ".join(t)) for t in (a, b))
+        bags = np.array([list(near_dedup.bag(y))], np.int16)
+        may = near_dedup.may_be_similar(bags, np.array([len(y)]), np.array(list(near_dedup.bag(x)), np.int16), len(x))
+        assert may[0] or not near_dedup.similar(x, y)
+
+
+def test_near_copies_that_meet_in_one_crowded_bucket_only(spark):
+    texts, tail = [], words(20, 7, 10**6)
+    for i in range(20):
+        texts += [" ".join(words(80, 500 + i, 10**6) + tail), " ".join(words(80, 500 + i, 10**6)[:-1] + ["changed"] + tail)]
+    ids = list(range(40))
+    rows = spark.createDataFrame([(15, i, i, 40) for i in ids], "key long, id long, root long, n long")
+    pairs = near_dedup.near_bags(rows, spark.createDataFrame(list(zip(ids, texts)), "node long, text string"))
+    got = {tuple(r) for r in pairs.collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(20)} <= got and len(got) < 40 * 39 / 2 and all(a < b for a, b in got)
+
+
 def near_rows():
     rows, r = [], random.Random(4)
     for g in range(12):
