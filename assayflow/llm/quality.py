@@ -20,6 +20,8 @@ LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
 COMMON_WORDS = 200
 #: Verdict: largest distances, and the characters and words from which a histogram counts as evidence.
 MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE, LEAST_CHARS, LEAST_TOKENS = 0.3, 0.75, 200, 100
+#: Least part of a language's share of common words that a text has; common words expected from which their absence counts.
+LEAST_COMMON, LEAST_EXPECTED = 0.25, 20
 #: Character classes by the first letters of the Unicode category; anything else is the last class.
 CLASSES = ("Ll", "Lu", "L", "M", "N", "P", "S", "Z", "C")
 
@@ -128,6 +130,7 @@ class Judge:
             for w, share in refs[x][1].items():
                 self.words[i, self.place[w]] = share
         self.words[:, -1] = np.maximum(0, 1 - self.words.sum(axis=1))
+        self.common = self.words[:, :-1] > 0
         self.words /= np.maximum(self.words.sum(axis=1, keepdims=True), 1e-12)
 
     def distances(self, text: str) -> tuple[float | None, float | None]:
@@ -145,18 +148,35 @@ class Judge:
             word_d = float(jensen_shannon(seen / len(tokens), self.words).min())
         return class_d, word_d
 
+    def lacks_common_words(self, text: str) -> bool:
+        """Whether the text has too few common words for each language whose character classes are near.
+
+        The distance can't tell: the place of all other words is so large in a reference that a text of nothing else is near.
+        """
+        own, tokens = char_classes(text), _token.findall(text.lower())
+        if not self.langs or own.sum() < LEAST_CHARS or len(tokens) < LEAST_TOKENS:
+            return False
+        near = jensen_shannon(own / own.sum(), self.classes) <= MOST_CLASS_DISTANCE
+        seen = np.zeros(len(self.place))
+        for w, c in Counter(tokens).items():
+            if w in self.place:
+                seen[self.place[w]] += c
+        expected = len(tokens) * (1 - self.words[:, -1])
+        enough = (expected < LEAST_EXPECTED) | (self.common @ seen >= LEAST_COMMON * expected)
+        return bool(near.any() and not (near & enough).any())
+
     def verdict(self, text: str) -> tuple:
         """The base counts, whether the base rule fails, both distances, whether the document stays."""
         base = base_counts(text)
         failed = base[0] < LEAST_WORDS or 100 * base[4] > MOST_REPEATED_PERCENT * base[0]
         near, common = self.distances(text)
-        return *base, failed, near, common, not failed and (near is None or near <= MOST_CLASS_DISTANCE) and (common is None or common <= MOST_WORD_DISTANCE)
+        return *base, failed, near, common, not failed and (near is None or near <= MOST_CLASS_DISTANCE) and (common is None or common <= MOST_WORD_DISTANCE) and not self.lacks_common_words(text)
 
 
 def judge(docs: DataFrame, refs: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, the base counts, ``base_failed``, ``class_distance``, ``word_distance`` and ``kept``.
 
-    ``kept`` is false if the base rule fails or a distance to the nearest reference is too large. A
+    ``kept`` is false if the base rule fails, a distance to the nearest reference is too large or common words are missing. A
     distance is null, and not held against the document, below its minimum length. Null and empty
     texts have no words and fail the base rule; an empty table gives an empty result; repeated ids
     are judged each; other columns are not read.

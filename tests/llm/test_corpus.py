@@ -348,6 +348,20 @@ def test_symbol_soup_is_rejected(spark):
     assert kept == set(range(40))
 
 
+def test_texts_without_common_words_are_rejected():
+    r = random.Random(12)
+    usual = ["the", "of", "and", "to", "in", "is", "that", "was", "for", "it"]
+    rare = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 10)))
+    text = lambda n, part: " ".join(r.choice(usual) if r.random() < part else rare() for _ in range(n))
+    classes = quality.char_classes(text(5000, 0.45))
+    to = quality.Judge({"en": (classes / classes.sum(), {w: 0.045 for w in usual})})
+    for _ in range(20):
+        soup = text(300, 0)
+        near, common = to.distances(soup)
+        assert near <= quality.MOST_CLASS_DISTANCE and common <= quality.MOST_WORD_DISTANCE and not to.verdict(soup)[-1]
+        assert to.verdict(text(300, 0.45))[-1] and to.verdict(text(300, 0.25))[-1] and to.verdict(text(70, 0))[-1]  # clean, rare topic, too short to tell
+
+
 # ---- languages ----
 def test_language_held_out_accuracy(spark, odd, none):
     sounds = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ein"], "cc": ["ção", "que", "ello"]}
