@@ -8,7 +8,9 @@ sequences. The pieces then only need their rank among pieces of their length to
 from __future__ import annotations
 
 import bisect
+import json
 import math
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,6 +43,25 @@ def encoder(vocabulary: str = VOCABULARY):
     return _encoders[vocabulary]
 
 
+def added_tokens(vocabulary: str = VOCABULARY) -> dict[str, int]:
+    """The added tokens of the tokenizers file, which it matches in texts before anything else."""
+    if (vocabulary, "added") not in _encoders:
+        import public_tokenizers
+
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+            _encoders[vocabulary, "added"] = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return _encoders[vocabulary, "added"]
+
+
+def ids_of(text: str, vocabulary: str = VOCABULARY) -> list[int]:
+    """The text's ids, as the tokenizers file gives them."""
+    enc, added = encoder(vocabulary), added_tokens(vocabulary)
+    if not any(t in text for t in added):
+        return enc.encode_ordinary(text)
+    parts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+    return [i for part in parts for i in ([added[part]] if part in added else enc.encode_ordinary(part))]
+
+
 def cut(length: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole ones, after a shorter first one if need be."""
     if length <= most:
@@ -53,13 +74,12 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, most: int, vocabulary
     """Pieces ``(id, piece, start, length, ids_crc32)`` of the tokenized documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 out = []
                 part = batch.iloc[at : at + 256]
                 for doc, text in zip(part["id"], part["text"]):
-                    ids = np.array([*enc.encode_ordinary(text), END_ID], "<u4")
+                    ids = np.array([*ids_of(text, vocabulary), END_ID], "<u4")
                     out += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(len(ids), most))]
                 yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
 

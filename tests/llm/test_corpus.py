@@ -422,6 +422,16 @@ def test_same_ids_as_the_tokenizers_file():
         assert own.encode_ordinary(t) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_same_ids_where_texts_have_the_added_token():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(10)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "a ", " b", "\n", " ", "é", "  x"]
+    for t in ["a <|endoftext|> b", *("".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(1000))]:
+        assert packing.ids_of(t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_place_every_piece_once_and_tightly(seed):
     r, most = random.Random(seed), 256
