@@ -16,7 +16,7 @@ BLOCKS, SHARED = 6, 3
 #: Least edit similarity; most different SimHash bits of a pair whose texts are compared.
 SIMILARITY, MOST_BITS = 0.8, 12
 #: Lines of more characters are aligned word by word.
-LONG_LINE = 200
+LONG_LINE = 2000
 #: Lines of more characters have their words summed in wider lanes.
 WIDE_LINE = 100_000
 #: Keys that are broadcast at most; beyond, the join is by shuffle.

@@ -178,6 +178,12 @@ def test_line_similarity(spark):
     assert df.where(line_dedup.edit_similar(F.col("x"), F.col("y"), *words_of) != F.col("want")).count() == 0
 
 
+def test_typing_errors_in_many_words_of_a_line_of_400_characters(spark):
+    base = ["abcdefgh" + w for w in words(40, 3, 9999)]
+    df = spark.createDataFrame([(" ".join(base), " ".join("x" + w[1:] if i % 4 == 0 else w for i, w in enumerate(base)))], "x string, y string")
+    assert df.where(line_dedup.edit_similar(F.col("x"), F.col("y"), *(line_dedup.as_characters(F.col(c)) for c in "xy"))).count() == 1
+
+
 def test_line_verdicts_of_odd_rows(odd):
     got = line_dedup.line_verdicts(odd).collect()
     assert len(got) == len(ODD)
