@@ -2,101 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import stored
+from assayflow.llm.common import discard, few, stored
 
-#: Buckets of up to so many members have all their pairs compared; larger ones go by hubs.
-SMALL = 6
-#: Rounds with hubs, before all pairs that are still apart are compared; members of a block then.
-ROUNDS, BLOCK = 2, 1024
-#: Keys of buckets (8 bytes each) that are broadcast at most; beyond, their members are joined by shuffle.
-MOST_BROADCAST_ROWS = 2_000_000
+#: Members of a block when all pairs of a crowded bucket are compared.
+BLOCK = 1024
 
 
-def crowds(members: DataFrame) -> DataFrame:
-    """``(key, n)`` of the buckets that have several members."""
-    return stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-
-
-def pairs_apart(crowded: DataFrame, holds: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def pairs_apart(crowded: DataFrame, holds: Callable[[Callable, Callable], Column] | None = None, more: Sequence[str] = ()) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of members of the same bucket that have different roots.
 
-    ``crowded``: ``(key, id, root, n)``, n members in the bucket. Buckets are cut into blocks of about ``BLOCK`` members, and
-    the pairs of two blocks are made by one task. ``holds`` is a condition on the two ids that the join checks.
+    ``crowded``: ``(key, id, root, n)``, n members in the bucket, and the columns ``more``. Buckets are cut into blocks of about ``BLOCK``
+    members, and the pairs of two blocks are made by one task. ``holds`` is a condition on the two members' columns that the join checks.
     """
     blocks = F.ceil(F.col("n") / BLOCK)
     own = crowded.withColumns({"own": F.pmod(F.xxhash64("id"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    one = own.select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("a"), F.col("root").alias("ra"))
-    two = own.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("root").alias("rb"))
-    both = one.join(two, ["key", "i", "j"]).where("a < b and ra != rb")
-    return (both if holds is None else both.where(holds(F.col("a"), F.col("b")))).select("a", "b")
+    side = lambda first, i, j: own.select("key", F.col("own").alias(i), F.col("other").alias(j), F.struct("id", "root", *more).alias(first))
+    both = side("a", "i", "j").join(side("b", "j", "i"), ["key", "i", "j"]).where("a.id < b.id and a.root != b.root")
+    return (both if holds is None else both.where(holds(F.col("a"), F.col("b")))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def linked_pairs(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, first_hubs: int = 1, growth: int = 4, most_hubs: int = 1 << 20, sizes: DataFrame | None = None,
-    apart: Callable[[DataFrame], DataFrame] = pairs_apart, node: Callable[[Column], Column] = lambda c: c,
+def linked_roots(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], gather: Callable[[DataFrame], None] = lambda ids: None, apart: Callable[[DataFrame], DataFrame] = pairs_apart
 ) -> DataFrame:
-    """Verified links ``(a, b)``, a < b, that connect all similar members of the same bucket.
-
-    ``members``: ``(key long, id, ...)``, distinct. Buckets of one member fall away at once: only keys and
-    counts are shuffled for that, and the keys of the others are broadcast up to a bound. In a bucket of up to ``small``
-    members each pair is a candidate. In a larger one, each member is first compared with the bucket's hubs,
-    its smallest ids; those that no hub verifies form the bucket again: a bucket of copies takes one round and as many
-    candidates as it has members. The first of ``ROUNDS`` rounds has ``first_hubs`` hubs, and each later one ``growth`` times those of the last, up to ``most_hubs``. Similarity isn't transitive, so in the end all
-    pairs of a crowded bucket that the links so far don't connect are candidates: ``apart`` finds them among ``(key, id, root, n)``, and may leave out
-    pairs that can't hold. ``node`` is what stands for an id in the components. ``sizes`` is :func:`crowds` of the members, where it is known. Sizes and hubs are partial aggregates; the join that
-    gives them to a hot bucket's members is split at run time. ``verify`` gets distinct pairs and
-    returns those that hold.
+    """``(id, root)`` of :func:`components` over the links that connect all similar members of the same bucket (stored).
+
+    ``members``: ``(key long, id long)``, distinct. Buckets of one member fall away at once: of each key only its count, smallest and
+    largest id are shuffled, after partial sums. First each member is compared with its bucket's hub, the smallest id: a bucket of
+    copies takes as many candidates as it has members. Similarity isn't transitive, so then all other pairs of a bucket that the links so far
+    don't connect are candidates: ``apart`` finds them among ``(key, id, root, n)``, and may leave out pairs that can't hold.
+    So no link between members of different classes is lost, however crowded the bucket. ``gather`` gets the ids that have company in a bucket
+    before ``verify`` gets distinct pairs and returns those that hold.
     """
-    left, found, known, hubs, crowded = members, None, None, first_hubs, None
-    for _ in range(ROUNDS):
-        if sizes is None:
-            sizes = crowds(left)
-        sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST_ROWS else sizes
-        grouped = stored(left.join(sizes, "key"), "buckets")
-        few = grouped.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        pairs = few.select(F.explode(F.filter(F.flatten(F.transform("ids", lambda a: F.transform("ids", lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p["a"] < p["b"])).alias("p")).select("p.*")
-        large = grouped.where(F.col("n") > small)
-        crowded = large if crowded is None else crowded
-        if hubs == 1:
-            hub = large.groupBy("key").agg(F.min("id").alias("hub"))
-        else:  # the filter on the rank keeps each task's smallest ids before rows are dealt out
-            hub = large.select("key", F.col("id").alias("hub")).withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("hub"))).where(F.col("i") <= hubs).drop("i")
-        compared = large.join(hub, "key").where("id > hub")
-        candidates = pairs.union(compared.select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
-        if known is not None:
-            candidates = candidates.join(known, ["a", "b"], "left_anti")
-        candidates = stored(candidates, "candidates")
-        held = stored(verify(candidates), "links")
-        found = held if found is None else found.union(held)
-        known = candidates if known is None else known.union(candidates)
-        met = compared.join(found, (F.col("hub") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("key", "id")
-        rest = large.join(hub.select("key", F.col("hub").alias("id")).union(met), ["key", "id"], "left_anti").drop("n")
-        left = stored(rest, "rest")
-        if left.isEmpty():
-            break
-        sizes, hubs = None, min(hubs * growth, most_hubs)
-    if crowded.isEmpty():
-        return found.distinct()
-    roots = components(found.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b"))).withColumnRenamed("id", "__node")
-    rooted = stored(crowded.select("key", "id", "n").join(roots, node(F.col("id")) == F.col("__node"), "left").select("key", "id", F.coalesce("root", node(F.col("id"))).alias("root"), "n"), "rooted")
-    open_ = stored(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "open")
-    open_ = F.broadcast(open_) if open_.count() <= MOST_BROADCAST_ROWS else open_
-    candidates = stored(apart(rooted.join(open_, "key")).distinct().join(known, ["a", "b"], "left_anti"), "candidates")
-    return found.union(stored(verify(candidates), "links")).distinct()
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("top")).where("n > 1")
+    buckets = stored(buckets, "buckets")
+    two = buckets.where("n = 2").select(F.col("hub").alias("a"), F.col("top").alias("b"))
+    crowd = stored(members.join(few(stored(buckets.where("n > 2").select("key", "n", "hub"), "crowded-keys")), "key"), "crowds")
+    first = two.union(crowd.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
+    first = stored(first, "candidates")
+    some = stored(first.select(F.col("a").alias("id")).union(first.select("b")).distinct(), "involved")
+    gather(some)
+    links = stored(verify(first), "links")
+    roots = components(links)
+    named = roots.withColumnsRenamed({"id": "__node", "root": "__root"})
+    rooted = stored(crowd.join(named, F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("__root", "id").alias("root"), "n", "hub"), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = apart(rooted.where("id != hub").drop("hub").join(few(stored(mixed, "mixed")), "key"))
+    second = stored(left.distinct().join(first, ["a", "b"], "left_anti"), "candidates")
+    more = stored(verify(second), "links")
+    discard(buckets, crowd, first, some, links, rooted, second)
+    if more.isEmpty():
+        return roots
+    both = components(more.union(roots.select(F.col("root").alias("a"), F.col("id").alias("b"))))
+    discard(more, roots)
+    return both
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(id, root)`` for each end of a link: root is the smallest id of its connected group.
+    """``(id, root)`` for each end of a link (stored): root is the smallest id of its connected group.
 
     Large-star and small-star steps in turn: each makes every node point to a smaller one, until
     all links are (node, root). A node's smallest neighbour is a partial aggregate, and a hub's links
     are joined with it by a join that is split at run time, so no group is gathered. Each step is
-    stored; their number grows with the logarithm of the group size.
+    stored and the one before it deleted; their number grows with the logarithm of the group size.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     state = None
@@ -108,9 +80,13 @@ def components(links: DataFrame) -> DataFrame:
         # small star: the smaller neighbours of a node, and the node itself, get the smallest of them
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         smaller = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(smaller.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        step = stored(smaller.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(edges, large)
+        edges = step
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
         state = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+    roots = stored(edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()), "roots")
+    discard(edges)
+    return roots

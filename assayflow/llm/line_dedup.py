@@ -1,4 +1,9 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups (DataFrame only)."""
+"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups (DataFrame only).
+
+The SimHash has ``BLOCKS`` blocks, and each word votes in one block only, by its hash. A changed word so touches two
+blocks at most, the one it leaves and the one it comes to, however short the line is; the other blocks stay equal to the bit.
+With votes of all words in all blocks, one changed letter would move bits in every block of a short line.
+"""
 
 from __future__ import annotations
 
@@ -7,121 +12,178 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import stored
-from assayflow.llm.graph import components, crowds, linked_pairs, pairs_apart
-
-#: SimHash blocks (64 bits in all), and how many of them two lines share to be compared: lines that
-#: differ in BLOCKS - SHARED bits at most always share so many.
-BLOCKS, SHARED = 6, 3
-#: Least edit similarity; most different SimHash bits of a pair whose texts are compared.
-SIMILARITY, MOST_BITS = 0.8, 12
+from assayflow.llm.common import discard, doc_key, few, let, stored
+from assayflow.llm.graph import linked_roots, pairs_apart
+
+#: Blocks of the SimHash, and bits of a block's votes in each byte (so 8 times as many in all).
+BLOCKS, BYTE_BITS = 5, 2
+#: Blocks that two lines share to be compared; lines of up to ``SHORT`` words share one more and have as many keys.
+SHARED, SHORT = 2, 12
+#: Least part of a line's words that the blocks of a key hold (or ``ENOUGH`` words), by the number of blocks.
+LEAST_PART, ENOUGH = {2: 0.2, 3: 0.3}, 12
+#: Least edit similarity.
+SIMILARITY = 0.8
 #: Lines of more characters are aligned word by word.
 LONG_LINE = 2000
-#: Lines of more characters have their words summed in wider lanes.
-WIDE_LINE = 100_000
-#: Keys that are broadcast at most; beyond, the join is by shuffle.
-MOST_BROADCAST_ROWS = 2_000_000
+#: Scripts without spaces between words: each character is a word.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
+
+def line_words(line: Column) -> Column:
+    """The runs of letters, marks and digits, in lower case: what counts of a line. Punctuation and spacing don't."""
+    low = F.lower(line)
+    spaced = F.when(F.octet_length(line) == F.length(line), low).otherwise(F.regexp_replace(low, UNSPACED, " $1 "))
+    return F.array_remove(F.split(spaced, r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
 def normalised_line(line: Column) -> Column:
-    """Lower case, digits as 0, and single spaces for anything but letters, marks and digits."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "), r"\p{N}", "0"))
+    return F.array_join(line_words(line), " ")
+
+
+def _long(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
+
 
+def _code(word: Column) -> Column:
+    """A word's hash, its last three bits replaced by the number of its block."""
+    return let(F.xxhash64(word), lambda h: h.bitwiseAND(_long(-8 + (1 << 64))).bitwiseOR(F.pmod(h, F.lit(BLOCKS))))
 
-def doc_key(id_col: str, text_col: str) -> Column:
-    """Rows equal in id and text are one document."""
-    return F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit("")))
 
+def _votes(codes: Column, width: int) -> Column:
+    """The bits that more than half of the words have, ``BYTE_BITS`` in each byte of a long.
 
-def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, id, line, raw)`` for each line."""
-    return docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
+    Bits are counted several at a time, in lanes of ``width`` bits of a long; a lane holds up to 2**(width - 2) - 1 words.
+    The bits found don't depend on the width.
+    """
+    ones = sum(1 << (width * i) for i in range(64 // width))
+    fill = (F.lit((1 << (width - 2)) - 1) - F.shiftright(F.size(codes), 1)).cast("long") * _long(ones)
+    out = _long(0)
+    for at in (8 * byte + bit for byte in range(width // 8) for bit in range(BYTE_BITS)):
+        count = F.aggregate(codes, _long(0), lambda a, x: a + F.shiftrightunsigned(x, at + 3).bitwiseAND(_long(ones)))  # noqa: B023
+        out = out.bitwiseOR(F.shiftrightunsigned((count + fill).bitwiseAND(_long(ones << (width - 2))), width - 2 - at))
+    return out
 
 
-def simhashes(lines: DataFrame, lane_bits: int) -> DataFrame:
-    """``(doc, id, line, key, sim)`` for each line with a letter or digit: the key of its normal form, the SimHash of its words.
+def simhash(words: Column) -> Column:
+    """An array of ``BLOCKS`` longs: each block's bits, and in the bits that are free in its first byte the number of its words (63 at most).
 
-    Bits of the word hashes are summed several at a time, in lanes of ``lane_bits`` bits of a long; a bit is set if more
-    than half of the words have it. A lane holds as many words as a line has.
+    A word votes once, however often the line has it: else the commonest word would decide each block of a long line.
     """
-    lanes = 64 // lane_bits
-    ones = sum(1 << (lane_bits * i) for i in range(lanes))
-    sums = [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(ones))).alias(f"s{i}") for i in range(lane_bits)]
-    normal = lines.select("doc", "id", "line", normalised_line(F.col("raw")).alias("norm")).where("norm != ''")
-    words = normal.select("doc", "id", "line", F.xxhash64("norm").alias("key"), F.explode(F.split("norm", " ")).alias("w")).withColumn("h", F.xxhash64(F.lit("sim"), "w"))
-    summed = words.groupBy("doc", "id", "line", "key").agg(F.count("*").alias("n"), *sums)
-    sim = F.lit(0).cast("long")
-    for i in range(lane_bits):
-        for lane in range(lanes):
-            at, count = i + lane_bits * lane, F.shiftrightunsigned(F.col(f"s{i}"), lane_bits * lane).bitwiseAND(F.lit((1 << lane_bits) - 1))
-            sim = sim.bitwiseOR(F.when(2 * count > F.col("n"), F.lit((1 << at) - (1 << 64 if at == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return summed.select("doc", "id", "line", "key", sim.alias("sim"))
-
-
-def block_keys(sim: Column) -> Column:
-    """An array of 64-bit keys: one for each choice of ``SHARED`` of the ``BLOCKS`` blocks."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    block = [F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    return F.array(*[F.xxhash64(F.lit(t), *[block[i] for i in chosen]) for t, chosen in enumerate(combinations(range(BLOCKS), SHARED))])
-
-
-def as_characters(norm: Column) -> Column:
+    blocks = let(F.array_distinct(F.transform(words, _code)), lambda codes: F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.filter(codes, lambda c: c.bitwiseAND(_long(7)) == b)))
+
+    def block(codes):
+        n = F.size(codes)
+        votes = F.when(n <= 63, _votes(codes, 8)).when(n <= 16383, _votes(codes, 16)).otherwise(_votes(codes, 32))
+        return votes.bitwiseOR((F.least(n, F.lit(63)) * (1 << BYTE_BITS)).cast("long"))
+
+    return F.transform(blocks, block)
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, id, line, key, chars, words, sim)`` for each line: two hashes of the normal form, its length, its number of words, its SimHash."""
+
+    def digest(words):
+        return let(F.array_join(words, " "), lambda norm: F.struct(
+            F.struct(F.xxhash64(norm).alias("a"), F.xxhash64(F.lit("line"), norm).alias("b")).alias("key"), F.length(norm).alias("chars"), F.size(words).alias("words"), simhash(words).alias("sim")
+        ))
+
+    raw = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
+    return raw.select("doc", "id", "line", let(line_words(F.col("raw")), digest).alias("d")).select("doc", "id", "line", "d.*")
+
+
+def block_keys(sim: Column, words: Column) -> Column:
+    """An array of 64-bit keys: one for each choice of blocks that hold enough words."""
+    counted = [F.shiftright(sim[b].bitwiseAND(_long(255)), BYTE_BITS) for b in range(BLOCKS)]
+
+    def keys(n):
+        least = F.least(F.ceil(words * LEAST_PART[n]), F.lit(ENOUGH))
+        return [F.when(sum((counted[b] for b in some), F.lit(0)) >= least, F.xxhash64(F.lit(n * 100 + i), *[sim[b] for b in some])) for i, some in enumerate(combinations(range(BLOCKS), n))]
+
+    none = F.array().cast("array<long>")
+    return F.array_compact(F.concat(F.when(words <= SHORT, F.array(*keys(SHARED + 1))).otherwise(none), F.when(words >= SHORT, F.array(*keys(SHARED))).otherwise(none)))
+
+
+def as_characters(words: Column) -> Column:
     """One character for each word (one of 20,000, by hash)."""
     code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-16BE")
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+
 
+def edit_similar(x: Column, y: Column, least: float = SIMILARITY) -> Column:
+    """Whether 1 - edits / longer length is at least ``least``, for two normal forms.
 
-def edit_similar(x: Column, y: Column, wx: Column, wy: Column, least: float = SIMILARITY) -> Column:
-    """Whether 1 - edits / longer length is at least ``least``: of the characters, or of the words (as characters) of long lines."""
+    Edits are counted in characters. Equal words at both ends are set aside, which changes no distance; if the words between them
+    are as many on both sides and those that differ are short enough, no alignment is needed. Where what lies between is over
+    ``LONG_LINE`` characters long, edits and lengths are counted in words.
+    """
+
+    def between(words, first, last):
+        return F.slice(words, first, F.size(words) - last - first + 1)
 
-    def near(a: Column, b: Column) -> Column:
-        most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - least) + 1e-9).cast("int")
+    def near(a, b, most):
         return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).otherwise(F.call_function("levenshtein", a, b, most) >= 0)
 
-    return F.when(F.greatest(F.length(x), F.length(y)) <= LONG_LINE, near(x, y)).otherwise(near(wx, wy))
+    def middle(v):
+        short = F.least(F.size(v["x"]), F.size(v["y"]))
+        differ = lambda p, q: F.coalesce(F.array_position(F.zip_with(F.slice(p, 1, short), F.slice(q, 1, short), lambda i, j: i != j), True), F.lit(0)).cast("int")
+        first = let(differ(v["x"], v["y"]), lambda at: F.when(at == 0, short + 1).otherwise(at))
+        last = let(differ(F.reverse(v["x"]), F.reverse(v["y"])), lambda at: F.when(at == 0, short).otherwise(at - 1))
+        return let(first, lambda f: let(last, lambda e: let(F.least(e, short - f + 1), lambda e: F.struct(between(v["x"], f, e).alias("x"), between(v["y"], f, e).alias("y")))))
+
+    def whole(v):
+        most = F.floor(F.greatest(F.length(x), F.length(y)) * (1 - least) + 1e-9).cast("int")
+        most_words = F.floor(F.greatest(F.size(v["x"]), F.size(v["y"])) * (1 - least) + 1e-9).cast("int")
+
+        def aligned(m):
+            differing = F.aggregate(F.zip_with(m["x"], m["y"], lambda i, j: F.when(i == j, 0).otherwise(F.greatest(F.length(i), F.length(j)))), F.lit(0), lambda a, n: a + n)
+            letters = F.struct(F.array_join(m["x"], " ").alias("x"), F.array_join(m["y"], " ").alias("y"))
+            by_letters = let(letters, lambda t: F.when(F.greatest(F.length(t["x"]), F.length(t["y"])) <= LONG_LINE, near(t["x"], t["y"], most)).otherwise(near(as_characters(m["x"]), as_characters(m["y"]), most_words)))
+            return F.when((F.size(m["x"]) == F.size(m["y"])) & (differing <= most), F.lit(True)).otherwise(by_letters)
 
+        return F.when(F.abs(F.length(x) - F.length(y)) > most, F.lit(False)).otherwise(let(middle(v), aligned))
 
-def _few(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST_ROWS else keys
+    return let(F.struct(F.split(x, " ").alias("x"), F.split(y, " ").alias("y")), whole)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Lines that go: ``(doc, line, keep_id, keep_line)``; ``doc`` is :func:`doc_key`, lines count from 0."""
-    lines = raw_lines(docs, id_col, text_col)
-    usual, wide = (simhashes(lines.where(f"length(raw) {which} {WIDE_LINE}"), n) for which, n in (("<=", 16), (">", 32)))
-    found = stored(usual.unionByName(wide), "lines")
+    """The lines that go: ``(doc, line, keep_id, keep_line)``; ``doc`` is :func:`doc_key`, lines count from 0."""
+    found = stored(lines_of(docs, id_col, text_col), "lines")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "line", "doc")
-    distinct = stored(found.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.any_value("sim").alias("sim")), "distinct")
+    distinct = found.where("words > 0").groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.any_value("sim").alias("sim"), F.first("words").alias("words"), F.first("chars").alias("chars"))
+    distinct = stored(distinct.withColumn("row", F.monotonically_increasing_id()), "distinct")
+    members = distinct.select(F.explode(block_keys(F.col("sim"), F.col("words"))).alias("key"), F.col("row").alias("id"))
+    chars = distinct.select(F.col("row").alias("id"), "chars")
+
+    texts: list[DataFrame] = []
+
+    def gather(some: DataFrame) -> None:
+        """Texts of the lines that share a key with another: documents by key, then their lines by number."""
+        by_doc = some.join(distinct, some["id"] == distinct["row"]).groupBy("first.doc").agg(F.collect_list(F.struct("row", "first.line")).alias("wanted"))
+        by_doc = stored(by_doc, "wanted")
+        here = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.split(text_col, "\n").alias("raw")).join(few(by_doc), "doc")
+        lines = here.select("raw", F.explode("wanted").alias("w")).select("w.row", normalised_line(F.element_at("raw", F.col("w.line") + 1)).alias("norm"))
+        got = stored(lines, "line-texts")
+        if got.count() > some.count():  # rows equal in id and text
+            got = stored(got.dropDuplicates(["row"]), "line-texts")
+        texts.append(got)
+        discard(by_doc)
 
-    members = distinct.select(F.explode(block_keys(F.col("sim"))).alias("key"), F.struct(F.col("key").alias("line"), "sim").alias("id"))
-
-    # texts of the lines that share a block key with another: documents by key, then their lines by number
-    keys = members.select("key", "id.line")
-    sizes = crowds(members)
-    wanted = keys.join(_few(sizes), "key", "left_semi").select(F.col("line").alias("key")).distinct().join(distinct, "key")
-    wanted = stored(wanted.select("key", F.col("first.doc").alias("doc"), F.col("first.line").alias("line")), "wanted")
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "line")).alias("wanted"))
-    here = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.split(text_col, "\n").alias("raw")).join(_few(stored(by_doc, "wanted-docs")), "doc")
-    texts = here.select("raw", F.explode("wanted").alias("w")).select("w.key", normalised_line(F.element_at("raw", F.col("w.line") + 1)).alias("norm"))
-    texts = stored(texts.withColumn("words", F.when(F.length("norm") > LONG_LINE * (1 - least), as_characters(F.col("norm")))), "line-texts")
-    if texts.count() > wanted.count():  # rows equal in id and text
-        texts = stored(texts.dropDuplicates(["key"]), "line-texts")
+    def verify(pairs: DataFrame) -> DataFrame:
+        one, two = (texts[0].select(F.col("row").alias(n), F.col("norm").alias(t)) for n, t in (("b", "y"), ("a", "x")))
+        both = pairs.join(one, "b").join(two, "a")
+        return both.where(edit_similar(F.col("x"), F.col("y"), least)).select("a", "b")
 
-    near = lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= MOST_BITS
+    def apart(crowded: DataFrame) -> DataFrame:
+        """Pairs of still separate lines whose lengths allow them to be similar."""
+        return pairs_apart(crowded.join(chars, "id"), lambda one, two: F.abs(one["chars"] - two["chars"]) <= F.floor(F.greatest(one["chars"], two["chars"]) * (1 - least) + 1e-9), ["chars"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        close = pairs.where(near(F.col("a"), F.col("b")))
-        one, two = (texts.select(F.col("key").alias(f"__{n}"), F.col("norm").alias(t), F.col("words").alias(f"w{t}")) for n, t in (("b", "y"), ("a", "x")))
-        both = close.join(one, F.col("b.line") == F.col("__b")).join(two, F.col("a.line") == F.col("__a"))
-        return both.where(edit_similar(F.col("x"), F.col("y"), F.col("wx"), F.col("wy"), least)).select("a", "b")
-
-    links = linked_pairs(members, verify, small=16, first_hubs=4, sizes=sizes, apart=lambda crowded: pairs_apart(crowded, near), node=lambda c: c["line"]).select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
-    roots = components(links)
-    classed = distinct.join(roots, distinct["key"] == roots["id"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
+    roots = linked_roots(members, verify, gather, apart)
+    classed = distinct.join(roots, distinct["row"] == roots["id"], "left").select("key", "first", "n", F.coalesce("root", "row").alias("root"))
     classed = stored(classed, "classed")
     kept = classed.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
     repeated = stored(classed.join(kept, "root").select("key", "keep"), "repeated")
-    gone = found.join(_few(repeated), "key").where((F.col("doc") != F.col("keep.doc")) | (F.col("line") != F.col("keep.line")))
+    discard(distinct, classed, roots, *texts)
+    gone = found.where("words > 0").select("doc", "line", "key").join(few(repeated), "key").where((F.col("doc") != F.col("keep.doc")) | (F.col("line") != F.col("keep.line")))
     return gone.select("doc", "line", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line")).distinct()
 
 
@@ -129,13 +191,15 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: ``(id, n_lines, n_dropped, dropped, keep_ids)``.
 
     ``dropped`` are the numbers (from 0) of the lines that go and ``keep_ids`` the ids of the documents in which
-    their kept occurrences stand. Lines are compared in normal form (case, digits, punctuation and spacing don't
+    their kept occurrences stand. Lines are compared in normal form (case, punctuation and spacing don't
     count); lines without letters and digits always stay. Of each connected group of lines the first
     occurrence stays, by id (null ids last), then line number. Rows equal in id and text count as
-    one document and get equal verdicts. Null texts have no lines, an empty text one; an empty table gives an empty
-    result; other columns are not read.
+    one document and get equal verdicts. Null texts have no lines, an empty text one; very long lines are read whole (aligned by
+    words beyond ``LONG_LINE`` characters); an empty table gives an empty
+    result; other columns are not read, whatever their names.
     """
-    gone = repeated_lines(docs, id_col, text_col).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "keep_id"))).alias("gone"))
+    gone = repeated_lines(docs, id_col, text_col)
+    gone = gone.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "keep_id"))).alias("gone"))
     each = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("doc"), F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
     return each.join(gone, "doc", "left").select(
@@ -146,11 +210,12 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns, the texts without the lines that go. Null texts stay null."""
-    gone = repeated_lines(docs, id_col, text_col).groupBy("doc").agg(F.collect_list("line").alias("__gone")).withColumnRenamed("doc", "__doc")
-    lines = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    return docs.withColumn("__doc", doc_key(id_col, text_col)).join(gone, "__doc", "left").withColumn(text_col, text).select(*docs.columns)
+    """All rows and columns, the texts without the lines that go (see :func:`line_verdicts`). Null texts stay null."""
+    gone = repeated_lines(docs, id_col, text_col)
+    gone = stored(gone.groupBy("doc").agg(F.collect_list("line").alias("__gone")).withColumnRenamed("doc", "__doc"), "gone")
+    left = let(F.split(text_col, "\n"), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: lines[i]))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    return docs.withColumn("__doc", doc_key(id_col, text_col)).join(few(gone), "__doc", "left").withColumn(text_col, text).select(*docs.columns)
 
 
 def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import WORD, id_text, stored
-from assayflow.llm.graph import BLOCK, components, crowds, linked_pairs
+from assayflow.llm.common import WORD, discard, doc_key, few, id_text, stored
+from assayflow.llm.graph import BLOCK, linked_roots
 
 #: Words of a shingle; least similarity; minima kept in order for each hash; hashes of a band; bands.
 SHINGLE, SIMILARITY, ORDERED, ROWS, BANDS = 5, 0.8, 2, 2, 16
-#: Keys that are broadcast at most (8 to 16 bytes each); beyond, the join is by shuffle.
-MOST_BROADCAST_ROWS = 2_000_000
 #: Places of a text's counts of words by hash, which rule out pairs of a crowded bucket.
 BINS = 256
 #: Shingles hashed at a time.
@@ -241,7 +239,7 @@ def near_bags(crowded: DataFrame, texts: DataFrame, least: float = SIMILARITY) -
             yield compare(pd.concat(kept))
 
     some = stored(crowded.select(F.col("id").alias("node")).distinct(), "crowded")
-    bags = stored(texts.join(F.broadcast(some) if some.count() <= MOST_BROADCAST_ROWS else some, "node", "left_semi").mapInPandas(bags_of, "node long, bag binary, words long"), "bags")
+    bags = stored(texts.join(few(some), "node", "left_semi").mapInPandas(bags_of, "node long, bag binary, words long"), "bags")
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = crowded.withColumns({"own": F.pmod(F.xxhash64("id"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
@@ -249,35 +247,34 @@ def near_bags(crowded: DataFrame, texts: DataFrame, least: float = SIMILARITY) -
     return dealt.mapInPandas(groups, "a long, b long")
 
 
-def text_key(id_col: str, text_col: str):
-    """What finds a row's text again: rows equal in it have equal ids and texts."""
-    return F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit("")))
-
-
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row per document: ``(id, key, class_id, class_size, kept)``; see :func:`near_duplicates`."""
-    source = docs.select(id_text(id_col), text_key(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    sketched = source.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_words_of, "id string, key long, row long, same binary, bands array<long>")
-    sketched = stored(sketched.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)), "sketches")
+    """One row per document: ``(id, key, class_id, class_size, kept)``, key as in :func:`common.doc_key`; see :func:`near_duplicates`."""
+    source = docs.select(id_text(id_col), doc_key(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    flat = source.select("id", F.col("key.a").alias("ka"), F.col("key.b").alias("kb"), "text", F.monotonically_increasing_id().alias("row"))
+    sketched = flat.mapInPandas(_words_of, "id string, ka long, kb long, row long, same binary, bands array<long>")
+    sketched = stored(sketched.select(F.col("id").cast(docs.schema[id_col].dataType).alias("id"), F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("key"), "row", "same", "bands"), "sketches")
 
     # a node for each sequence of words: its first row and how many rows it has
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row", "key")
     nodes = sketched.groupBy("same").agg(F.min(best).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"))
-    nodes = stored(nodes.withColumn("node", F.xxhash64("same")), "nodes")
-    members = nodes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
-
-    # texts of the nodes that share a bucket with another, read again from the source
-    sizes = crowds(members)
-    some = stored(members.join(F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST_ROWS else sizes, "key", "left_semi").select(F.col("id").alias("node")).distinct().join(nodes.select("node", F.col("first.key").alias("key")), "node"), "involved")
-    texts = source.select("key", "text").join(F.broadcast(some) if some.count() <= MOST_BROADCAST_ROWS else some, "key")
-    texts = stored(texts.select("node", "text"), "texts")
-    if texts.count() > some.count():  # rows equal in id and text
-        texts = stored(texts.dropDuplicates(["node"]), "texts")
-
-    roots = components(linked_pairs(members.select("key", "id"), lambda pairs: verified(pairs, texts, least), small=10, most_hubs=4, sizes=sizes, apart=lambda crowded: near_bags(crowded, texts, least)))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"))
+    texts: list[DataFrame] = []
+
+    def gather(some: DataFrame) -> None:
+        """Texts of the nodes that share a bucket with another, read again from the source."""
+        wanted = stored(some.join(nodes, some["id"] == nodes["node"]).select("node", "first.key"), "wanted")
+        got = stored(source.select("key", "text").join(few(wanted), "key").select("node", "text"), "texts")
+        if got.count() > some.count():  # rows equal in id and text
+            got = stored(got.dropDuplicates(["node"]), "texts")
+        texts.append(got)
+        discard(wanted)
+
+    roots = linked_roots(members, lambda pairs: verified(pairs, texts[0], least), gather, lambda crowded: near_bags(crowded, texts[0], least))
     rooted = stored(nodes.join(roots, nodes["node"] == roots["id"], "left").select("same", "first", "n", F.coalesce("root", "node").alias("root")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
-    named = rooted.join(groups, "root").select("same", F.col("best.id").alias("class_id"), "class_size", F.col("best.row").alias("best_row"))
+    named = stored(rooted.join(groups, "root").select("same", F.col("best.id").alias("class_id"), "class_size", F.col("best.row").alias("best_row")), "named")
+    discard(nodes, roots, rooted, *texts)
     return sketched.join(named, "same").select(F.col("id").alias(id_col), "key", "class_id", "class_size", (F.col("row") == F.col("best_row")).alias("kept"))
 
 
@@ -302,8 +299,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     gone = found.where("not kept").select("key").distinct()
     lost = stored(gone.join(kept, "key", "left_anti"), "lost")  # no row of this id and text stays
     twice = stored(gone.join(kept, "key", "left_semi"), "twice")  # one of several equal rows stays
-    few = lambda keys: F.broadcast(keys) if keys.count() <= MOST_BROADCAST_ROWS else keys
-    left = docs.withColumn("__key", text_key(id_col, text_col)).join(few(lost.withColumnRenamed("key", "__key")), "__key", "left_anti")
+    left = docs.withColumn("__key", doc_key(id_col, text_col)).join(few(lost.withColumnRenamed("key", "__key")), "__key", "left_anti")
     if twice.isEmpty():
         return left.drop("__key")
     again = few(twice.withColumnRenamed("key", "__key"))
