@@ -131,6 +131,23 @@ class Plan:
             rank, count = rank + n, count - n
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse, by elimination with the largest pivot.
+
+    Here and below no BLAS is used: its threads don't survive the fork that starts Spark's JVM, and calls in the driver would hang.
+    """
+    n = len(matrix)
+    both = np.concatenate((matrix, np.eye(n)), axis=1)
+    for i in range(n):
+        best = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, best]] = both[[best, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]
+
+
 def configurations(sizes: list[int], demand: list[int], most: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Few sizes into sequences: the linear relaxation over configurations by column generation, rounded down.
 
@@ -139,12 +156,12 @@ def configurations(sizes: list[int], demand: list[int], most: int, rounds: int =
     """
     k, s, d = len(sizes), np.array(sizes), np.array(demand, float)
     basis = np.diag([float(most // x) for x in sizes])
-    inverse, x = np.linalg.inv(basis), None
+    inverse = inverted(basis)
     deepest = most // min(sizes)
     for step in range(rounds):
         if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
-        x = inverse @ d
+            inverse = inverted(basis)
+        x = (inverse * d).sum(axis=1)
         dual = np.maximum(inverse.sum(axis=0), 0)
         value, chosen = np.zeros(most + 1), []
         for _ in range(deepest):
@@ -165,7 +182,7 @@ def configurations(sizes: list[int], demand: list[int], most: int, rounds: int =
             if pick[room] >= 0:
                 column[pick[room]] += 1
                 room -= s[pick[room]]
-        along = inverse @ column
+        along = (inverse * column).sum(axis=1)
         ok = along > 1e-9
         if not ok.any():
             break
@@ -173,9 +190,9 @@ def configurations(sizes: list[int], demand: list[int], most: int, rounds: int =
         out = int(ratio.argmin())
         basis[:, out] = column
         row = inverse[out] / along[out]
-        inverse = inverse - np.outer(along, row)
+        inverse = inverse - along[:, None] * row
         inverse[out] = row
-    x = np.linalg.solve(basis, d)
+    x = (inverted(basis) * d).sum(axis=1)
     return [(basis[:, j].astype(int), math.floor(x[j] + 1e-6)) for j in range(k) if x[j] >= 1 - 1e-6]
 
 
