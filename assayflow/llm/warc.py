@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-import gzip
+import codecs
 import hashlib
-import io
+import itertools
 import re
 import uuid
 import zlib
@@ -51,54 +51,85 @@ def fields(raw: bytes) -> tuple[str, list[tuple[str, str]]]:
     return first, [(k.strip(), v.strip()) for k, colon, v in (x.partition(":") for x in rest) if colon]
 
 
+_blank_line = re.compile(rb"\r?\n\r?\n")
+
+
+def split_head(data: bytes) -> tuple[bytes, bytes]:
+    """What comes before and after the first blank line; line ends may lack their carriage return."""
+    m = _blank_line.search(data)
+    return (data[: m.start()], data[m.end() :]) if m else (data, b"")
+
+
 def parse(record: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """(version, headers, block) of a record."""
-    head, _, rest = record.partition(b"\r\n\r\n")
+    """(version, headers, block) of a record. Without a readable length the block is all that follows."""
+    head, rest = split_head(record)
     version, headers = fields(head)
-    length = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdigit()), len(rest))
+    length = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isascii() and v.isdigit()), len(rest))
     return version, headers, rest[:length]
 
 
 def dechunked(body: bytes) -> bytes:
+    """The chunks together; a body that doesn't begin with a chunk as it is; what came before a chunk that can't be read."""
     out, at = [], 0
-    while (end := body.find(b"\r\n", at)) >= 0:
-        try:
-            size = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
-            return body
+    while (end := body.find(b"\n", at)) >= 0:
+        m = re.fullmatch(rb"\s*([0-9A-Fa-f]{1,15})\s*(;.*)?", body[at:end].rstrip(b"\r"), re.S)
+        if not m:
+            return b"".join(out) if out else body
+        size = int(m[1], 16)
         if not size:
             break
-        out.append(body[end + 2 : end + 2 + size])
-        at = end + 4 + size
-    return b"".join(out)
+        out.append(body[end + 1 : end + 1 + size])
+        at = end + 1 + size
+        at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
+    return b"".join(out) if out else body if at == 0 and not body.lstrip().startswith(b"0") else b""
 
 
-def payload_of(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
-    """(status line, HTTP headers, payload as sent, payload decoded) of a response's block."""
-    head, _, body = block.partition(b"\r\n\r\n")
+def inflated(body: bytes, *windows: int) -> bytes | None:
+    """All members of a gzip or deflate stream, by the first of zlib's window settings that fits; as far as a broken one goes; None if none fits."""
+    for bits in windows:
+        out, rest = [], body
+        try:
+            while rest:
+                stream = zlib.decompressobj(bits)
+                out.append(stream.decompress(rest))
+                if not stream.eof or bits != 31:
+                    break
+                rest = stream.unused_data.lstrip(b"\0")
+        except zlib.error:
+            pass
+        if out or not body:
+            return b"".join(out)
+    return None
+
+
+def payload_of(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes | None]:
+    """(status line, HTTP headers, payload as sent, payload decoded) of a response's block; decoded is None where the content encoding can't be read."""
+    head, body = split_head(block)
     status, headers = fields(head)
     names = {k.lower(): v.lower() for k, v in headers}
     if "chunked" in names.get("transfer-encoding", ""):
         body = dechunked(body)
-    plain = body
-    try:
-        if "gzip" in names.get("content-encoding", ""):
-            plain = zlib.decompressobj(31).decompress(body)
-        elif "deflate" in names.get("content-encoding", ""):
-            plain = zlib.decompressobj().decompress(body)
-    except zlib.error:
-        pass
+    plain: bytes | None = body
+    for kind in reversed([x.strip() for x in names.get("content-encoding", "").split(",")]):
+        if plain is not None and kind not in ("", "identity", "none"):
+            plain = inflated(plain, 31) if kind in ("gzip", "x-gzip") else inflated(plain, 15, -15) if kind == "deflate" else None
     return status, headers, body, plain
 
 
-def charset_of(headers: list[tuple[str, str]], payload: bytes) -> str:
+def text_of(payload: bytes, headers: list[tuple[str, str]]) -> tuple[str, str]:
+    """The payload's text and its character set: that of the header, else of a meta element anywhere in it, else UTF-8."""
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
-    m = re.search(r"charset=[\"']?([\w.:-]+)", kind) or re.search(r"<meta[^>]+charset=[\"']?([\w.:-]+)", payload[:4096].decode("latin-1"), re.I)
+    m = re.search(r"charset=\s*[\"']?([\w.:-]+)", kind, re.I)
+    named = m[1] if m else ((m := _meta.search(payload)) and m[1].decode("ascii", "replace")) or "utf-8"
     try:
-        "".encode(m[1] if m else "utf-8")
-        return m[1].lower() if m else "utf-8"
-    except LookupError:
-        return "utf-8"
+        if codecs.lookup(named)._is_text_encoding and codecs.lookup(named).name.replace("-", "_") not in ("undefined", "idna", "punycode", "unicode_escape", "raw_unicode_escape"):
+            return payload.decode(named, "replace"), named.lower()
+    except (LookupError, ValueError):  # unknown, or a codec that replaces nothing
+        pass
+    return payload.decode("utf-8", "replace"), "utf-8"
+
+
+_meta = re.compile(rb"<meta[^<>]+?charset=\s*[\"']?([\w.:-]+)", re.I)
 
 
 class Page(HTMLParser):
@@ -137,6 +168,10 @@ class Page(HTMLParser):
         if not self.hidden:
             self.parts.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """Sections of unknown kinds, as ``<![foo bar[``, are left out up to the next ``>``."""
+        return self.rawdata.find(">", i) + 1 or -1
+
     def text(self) -> str:
         lines = (" ".join(x.split()) for x in "".join(self.parts).split("\n"))
         return "\n".join(x for x in lines if x)
@@ -167,15 +202,19 @@ def derive(record: bytes) -> list[tuple]:
     if given.get("warc-type", "").lower() != "response":
         return []
     status, http, sent, plain = payload_of(block)
-    charset = charset_of(http, plain)
+    text, charset = text_of(plain or b"", http)
     page = Page()
-    page.feed(plain.decode(charset, "replace"))
-    page.close()
+    try:
+        page.feed(text)
+        page.close()
+    except (AssertionError, ValueError):  # markup that the parser gives up on: what came before it stays
+        pass
     source, target, date = given.get("warc-record-id", ""), given.get("warc-target-uri", ""), given.get("warc-date", "")
     payload_digest, block_digest = given.get("warc-payload-digest") or digest(sent), given.get("warc-block-digest") or digest(block)
     conversion_id, metadata_id = urn("conversion", source, target, payload_digest), urn("metadata", source, target, payload_digest)
     clean = lambda x: " ".join(x.split())
     about = [("title", clean(page.title)), ("language", page.lang), ("charset", charset), ("http-status", status), ("conversion", conversion_id)]
+    about += [("content-encoding-not-read", v) for k, v in http if plain is None and k.lower() == "content-encoding"]
     about += [(f"source-{k}", v) for k, v in headers] + [(f"http-{k}", v) for k, v in http]
     for link, how in page.links:
         try:
@@ -199,8 +238,10 @@ def derive(record: bytes) -> list[tuple]:
 def derivatives(records: DataFrame, key_col: str = "key", record_col: str = "record") -> DataFrame:
     """Two rows per response in ``(key, record binary)``: the key and ``SCHEMA``.
 
-    Null records and records of other types give none. Repeated records give equal ids. An empty table
-    gives an empty result; other columns are not read.
+    Null records and records of other types give none. Repeated records give equal ids. Chunked, gzip (of several members too) and
+    deflate payloads (raw too) are decoded, broken ones as far as they go; a payload in another encoding has an empty text, and its metadata names the
+    encoding. Unknown character sets count as UTF-8. Payloads are read whole, however long; null keys stay null. An empty table
+    gives an empty result; other columns are not read, whatever their names.
     """
     names = ["id", *(x.split()[0] for x in SCHEMA.split(", "))]
 
@@ -225,29 +266,51 @@ def responses(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     return id_back(source.mapInPandas(run, "id string, record binary"), pages, id_col)
 
 
-def records_of(data: bytes) -> Iterator[bytes]:
-    """The records of a WARC file's bytes, plain or gzip."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        head = [line]
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            head.append(line)
-        length = next((int(x.split(b":")[1]) for x in head if x.lower().startswith(b"content-length:")), 0)
-        yield b"".join(head) + b"\r\n" + stream.read(length) + b"\r\n\r\n"
+#: What separates records in a file, but for the line end before it.
+MARK = b"WARC/1."
+
+
+def assembled(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Records from a file's pieces, which were cut at each line that begins with ``MARK``.
+
+    A piece that ends before its record's length was cut inside the record's block, and the next one belongs to it. A record
+    without a readable length ends where it was cut.
+    """
+    kept: list[bytes] = []
+    size = need = 0
+    for piece in pieces:
+        if kept and size < need:
+            kept.append(b"\n" + MARK + piece)
+            size += len(kept[-1])
+        else:
+            if kept:
+                yield b"".join(kept)
+            piece = piece if piece.startswith(MARK) else MARK + piece
+            m = _blank_line.search(piece)
+            length = re.search(rb"(?im)^content-length:[ \t]*(\d{1,15})[ \t]*\r?$", piece[: m.start()] if m else piece)
+            kept, size, need = [piece], len(piece), m.end() + int(length[1]) if m and length else 0
+    if kept:
+        yield b"".join(kept)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, at, record)`` of WARC files, each read by one task (WARC files are about 1 GB by custom)."""
+    """``(file, record)`` of WARC files, plain or gzip (by the ending ``.gz``), one row per record.
+
+    Files are read as a stream of records, so a task holds one record (2 GB at most) and not a file; plain files are split between tasks.
+    A block that has a line beginning with ``WARC/1.`` just where a split of the file begins is cut there. An empty file has no records; bytes before the first record are left out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"]):
-                for i, record in enumerate(records_of(content)):
-                    yield pd.DataFrame({"file": [file], "at": [i], "record": [record]})
+        rows = ((file, bytes(piece)) for batch in batches for file, piece in zip(batch["file"], batch["piece"]))
+        for file, group in itertools.groupby(rows, key=lambda x: x[0]):
+            for record in assembled(piece for i, (_, piece) in enumerate(group) if i or is_record(piece)):
+                yield pd.DataFrame({"file": [file], "record": [record]})
+
+    def is_record(piece: bytes) -> bool:
+        return re.match(rb"(WARC/1\.)?\d\r?\n", piece) is not None
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, at long, record binary")
+    pieces = spark.read.option("lineSep", "\n" + MARK.decode()).text(path)
+    return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).where("length(piece) > 0").mapInPandas(run, "file string, record binary")
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
