@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import unicodedata
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,3 +130,14 @@ def id_back(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+@functools.cache
+def first_classes(kinds: tuple[str, ...]) -> np.ndarray:
+    """For each code point, which of ``kinds`` its Unicode category begins with first; ``len(kinds)`` if none."""
+    found = {c: next((i for i, k in enumerate(kinds) if c.startswith(k)), len(kinds)) for c in {unicodedata.category(chr(p)) for p in range(0x110000)}}
+    return np.fromiter((found[unicodedata.category(chr(p))] for p in range(0x110000)), np.uint8, 0x110000)
+
+
+def code_points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,47 +9,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import id_back, id_text
+from assayflow.llm.common import code_points_of, first_classes, id_back, id_text
 
 #: n-gram lengths, hash buckets, and labelled documents that a model is fitted on at most (in expectation).
 ORDERS, BUCKET_BITS, MOST_TRAINING = (1, 2, 3), 15, 20_000
 #: Characters scored at a time.
 CHUNK = 1 << 18
 
-_table: list[np.ndarray] = []
 
-
-def letters() -> np.ndarray:
-    """For each code point of the basic plane, itself if it is a letter or mark, else a space; beyond, as it is."""
-    if not _table:
-        _table.append(np.array([c if unicodedata.category(chr(c))[0] in "LM" else 32 for c in range(1 << 16)], np.uint32))
-    return _table[0]
-
-
-def code_points(text: str) -> np.ndarray:
-    """Lower-cased code points, runs of anything but letters as one space, with a space at both ends."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = letters()
-    points = np.where(raw < len(table), table[np.minimum(raw, len(table) - 1)], raw)
-    points = np.concatenate((np.array([32], np.uint32), points, np.array([32], np.uint32)))
+def code_points(text: str) -> tuple[np.ndarray, bool]:
+    """Lower-cased code points, runs of anything but letters and marks as one space, with a space at both ends; whether there is a letter."""
+    raw = code_points_of(text.lower())
+    kinds = first_classes(("L", "M"))[raw]
+    points = np.concatenate((np.array([32], np.uint32), np.where(kinds < 2, raw, np.uint32(32)), np.array([32], np.uint32)))
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
-    return points[keep]
+    return points[keep], bool((kinds == 0).any())
 
 
-def features(points: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Hash buckets of all n-grams of the code points."""
+def features(points: np.ndarray, start: int, stop: int, bits: int = BUCKET_BITS) -> np.ndarray:
+    """Hash buckets of all n-grams that begin at places from ``start`` to before ``stop``."""
     out = []
     for n in ORDERS:
-        if len(points) >= n:
-            h = np.full(len(points) - n + 1, 0x9E3779B1 + n, np.uint32)
+        size = min(stop, len(points) - n + 1) - start
+        if size > 0:
+            h = np.full(size, 0x9E3779B1 + n, np.uint32)
             for i in range(n):
-                h = (h ^ points[i : len(points) - n + 1 + i]) * np.uint32(0x85EBCA6B)
+                h = (h ^ points[start + i : start + i + size]) * np.uint32(0x85EBCA6B)
                 h ^= h >> np.uint32(15)
             out.append(h >> np.uint32(32 - bits))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def scores(texts: list, table: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the log probabilities of each text's n-grams by language, and which texts have letters.
+
+    A block of texts (or of parts of a long one) of about ``CHUNK`` characters is one sparse matrix, a row for each, times the dense
+    table: its column numbers are the buckets in a row, its values are ones, and rows end where the next begins.
+    """
+    sums, lettered = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), bool)
+    columns: list[np.ndarray] = []
+    rows: list[int] = []
+
+    def multiply() -> None:
+        if columns:
+            starts = np.cumsum([0, *map(len, columns[:-1])])
+            np.add.at(sums, rows, np.add.reduceat(table[np.concatenate(columns)], starts, axis=0, dtype=np.float64))
+            columns.clear()
+            rows.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        points, lettered[i] = code_points(text) if isinstance(text, str) else (np.zeros(0, np.uint32), False)
+        for at in range(0, len(points) if lettered[i] else 0, CHUNK):
+            columns.append(features(points, at, at + CHUNK, bits))
+            rows.append(i)
+            size += len(columns[-1])
+            if size >= CHUNK:
+                multiply()
+                size = 0
+    multiply()
+    return sums, lettered
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = BUCKET_BITS) -> tuple[list[str], np.ndarray]:
     """``(languages, log probabilities)`` from a bounded table of labelled rows.
 
@@ -64,9 +85,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
             for lang, text in zip(batch["lang"], batch["text"]):
                 own = sums.setdefault(lang, np.zeros((1 << bits) + 1, np.int64))
                 own[-1] += 1
-                points = code_points(text)
+                points, _ = code_points(text)
                 for at in range(0, len(points), CHUNK):
-                    own[:-1] += np.bincount(features(points[at : at + CHUNK + max(ORDERS) - 1], bits), minlength=1 << bits)
+                    own[:-1] += np.bincount(features(points, at, at + CHUNK, bits), minlength=1 << bits)
         for lang, own in sums.items():
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": own[at]})
@@ -87,8 +108,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
 def predict(docs: DataFrame, names: list[str], log_prob: np.ndarray, id_col: str = "doc_id", text_col: str = "text", bits: int = BUCKET_BITS) -> DataFrame:
     """``(id, lang_pred, score)``: the most probable language of the whole text and its probability.
 
-    Null texts, texts without letters and an empty model give ``und`` and 0. The matrix is broadcast;
-    a batch of documents is scored by summing the rows of the buckets that its texts have.
+    Null texts, texts without letters (marks, digits, symbols and emoji are none) and an empty model give ``und`` and 0. The matrix is
+    broadcast; batches of documents are scored by :func:`scores`. Texts are read whole, each n-gram once; ties take the
+    language that comes first; repeated rows are predicted each; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((names, log_prob.astype(np.float32)))
@@ -97,19 +119,14 @@ def predict(docs: DataFrame, names: list[str], log_prob: np.ndarray, id_col: str
         langs, table = shared.value
         table, prior = np.ascontiguousarray(table[:-1]), table[-1].astype(np.float64)
         for batch in batches:
-            pred, score = ["und"] * len(batch), np.zeros(len(batch))
-            for i, text in enumerate(batch["text"]):
-                points = code_points(text) if isinstance(text, str) else np.zeros(0, np.uint32)
-                if not langs or not (points != 32).any():
-                    continue
-                total = prior.copy()
-                for at in range(0, len(points), CHUNK):
-                    seen = features(points[at : at + CHUNK + max(ORDERS) - 1], bits)
-                    total += table[seen].sum(axis=0, dtype=np.float64)
-                odds = np.exp(total - total.max())
-                best = int(odds.argmax())
-                pred[i], score[i] = langs[best], odds[best] / odds.sum()
-            yield pd.DataFrame({"id": batch["id"], "lang_pred": pred, "score": score})
+            if not langs:
+                yield pd.DataFrame({"id": batch["id"], "lang_pred": "und", "score": 0.0})
+                continue
+            total, lettered = scores(list(batch["text"]), table, bits)
+            odds = np.exp(total + prior - (total + prior).max(axis=1, keepdims=True))
+            best = odds.argmax(axis=1)
+            score = np.where(lettered, odds.max(axis=1) / odds.sum(axis=1), 0.0)
+            yield pd.DataFrame({"id": batch["id"], "lang_pred": np.where(lettered, np.array(langs, object)[best], "und"), "score": score})
 
     source = docs.select(id_text(id_col), F.col(text_col).alias("text"))
     return id_back(source.mapInPandas(run, "id string, lang_pred string, score double"), docs, id_col)
