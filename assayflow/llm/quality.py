@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import WORD, id_back, id_text
+from assayflow.llm.common import WORD, code_points_of, first_classes, id_back, id_text
 
 #: Base rule: fewest words; most words, in percent, that stand in repeated windows of this many words.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
@@ -26,20 +25,16 @@ LEAST_COMMON, LEAST_EXPECTED = 0.25, 20
 CLASSES = ("Ll", "Lu", "L", "M", "N", "P", "S", "Z", "C")
 
 _word, _token, _symbol = re.compile(WORD), re.compile(r"[^\W\d_]+"), re.compile(r"[#*$%&|<>]")
-_class_table: list[np.ndarray] = []
 CHUNK = 1 << 20
 
 
 def char_classes(text: str) -> np.ndarray:
-    """How many characters of the text are in each class."""
-    if not _class_table:
-        kinds = [unicodedata.category(chr(c)) for c in range(1 << 16)]
-        _class_table.append(np.array([0 if c in (10, 9, 13) else next(i for i, k in enumerate(CLASSES) if kinds[c].startswith(k)) + 1 for c in range(1 << 16)], np.uint8))
-    out = np.zeros(len(CLASSES) + 1, np.int64)
+    """How many characters of the text are in each class. Tabs and line ends are layout and don't count."""
+    out = np.zeros(len(CLASSES), np.int64)
     for at in range(0, len(text), CHUNK):
-        points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
-        out += np.bincount(_class_table[0][np.minimum(points, 0xFFFF)], minlength=len(out))
-    return out[1:]  # white-space controls are layout
+        points = code_points_of(text[at : at + CHUNK])
+        out += np.bincount(first_classes(CLASSES)[points[~np.isin(points, (9, 10, 13))]], minlength=len(out))
+    return out
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -166,15 +161,15 @@ class Judge:
         return bool(near.any() and not (near & enough).any())
 
     def verdict(self, text: str) -> tuple:
-        """The base counts, whether the base rule fails, both distances, whether the document stays."""
+        """The base counts, whether the base rule fails, whether the document stays, both distances."""
         base = base_counts(text)
         failed = base[0] < LEAST_WORDS or 100 * base[4] > MOST_REPEATED_PERCENT * base[0]
         near, common = self.distances(text)
-        return *base, failed, near, common, not failed and (near is None or near <= MOST_CLASS_DISTANCE) and (common is None or common <= MOST_WORD_DISTANCE) and not self.lacks_common_words(text)
+        return *base, failed, not failed and (near is None or near <= MOST_CLASS_DISTANCE) and (common is None or common <= MOST_WORD_DISTANCE) and not self.lacks_common_words(text), near, common
 
 
 def judge(docs: DataFrame, refs: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, the base counts, ``base_failed``, ``class_distance``, ``word_distance`` and ``kept``.
+    """One row per document: id, the base counts, ``base_failed``, ``kept``, ``class_distance`` and ``word_distance``.
 
     ``kept`` is false if the base rule fails, a distance to the nearest reference is too large or common words are missing. A
     distance is null, and not held against the document, below its minimum length. Null and empty
@@ -189,21 +184,24 @@ def judge(docs: DataFrame, refs: dict, id_col: str = "doc_id", text_col: str = "
             rows = [to.verdict(text) for text in batch["text"]]
             yield pd.DataFrame(rows, columns=names, index=batch.index).astype({"class_distance": float, "word_distance": float}).assign(id=batch["id"])
 
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
-    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
+    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
     source = docs.select(id_text(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
     return id_back(source.mapInPandas(run, f"id string, {schema}"), docs, id_col)
 
 
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of documents that :func:`judge` keeps, with all their columns and without a shuffle."""
+    """The rows of documents that :func:`judge` keeps, with all their columns, whatever their names, and without a shuffle.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(references(docs, text_col, lang_col))
 
     @F.pandas_udf("boolean")
     def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         to = Judge(shared.value)
         for texts in batches:
-            yield texts.map(lambda text: to.verdict(text)[-1]).astype(bool)
+            yield texts.map(lambda text: to.verdict(text)[6]).astype(bool)
 
     return docs.where(keep(F.coalesce(text_col, F.lit(""))))
 
