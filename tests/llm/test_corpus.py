@@ -172,10 +172,9 @@ def test_recall_of_fuzzy_lines(spark):
             changed[r.randrange(n)] = "word"
             a, at = " ".join(line), len(rows)
             rows.append((at, a))
-            for other in (one_letter_changed(a, r), " ".join(changed)):
-                if levenshtein(a, other) <= int(0.2 * max(len(a), len(other)) + 1e-9):
-                    want[n].add(len(rows))
-                rows.append((len(rows), other))
+            rows += [(at + 1, one_letter_changed(a, r)), (at + 2, " ".join(changed))]
+            like = {(i, j) for i in range(3) for j in range(i) if levenshtein(rows[at + i][1], rows[at + j][1]) <= int(0.2 * max(len(rows[at + i][1]), len(rows[at + j][1])) + 1e-9)}
+            want[n] |= {at + i for i, _ in like} if like != {(2, 0), (2, 1)} else {at + 1, at + 2}
     got = {x["doc_id"] for x in line_dedup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect() if x["n_dropped"]}
     assert not got - set().union(*want.values())
     for n, ids in want.items():
@@ -539,19 +538,73 @@ def test_warc_round_trip(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))
     (tmp_path / "y.warc").write_bytes(b"".join(data))
     read = warc.read_warc(spark, f"{tmp_path}/*.warc*").collect()
-    assert sorted(bytes(r["record"]) for r in read) == sorted(data * 2)
+    assert sorted(bytes(r["record"]).rstrip() for r in read) == sorted(x.rstrip() for x in data * 2)
+    assert sorted(warc.parse(bytes(r["record"]))[2] for r in read) == sorted(warc.parse(x)[2] for x in data * 2)
     assert warc.derive(warc.build([("WARC-Type", "request")], b"")) == []
 
 
+def of_http(headers, body, end=b"\r\n"):
+    block = end.join([b"HTTP/1.1 200 OK", *headers, b"", b""]) + body
+    return {r[0]: r for r in warc.derive(warc.build([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "http://a/")], block))}
+
+
 def test_warc_encodings():
     import gzip
 
     body = "<p>é</p>".encode("latin-1")
     packed = gzip.compress(body)
     chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (packed[:10], packed[10:])) + b"0\r\n\r\n"
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked
-    got = {r[0]: r for r in warc.derive(warc.build([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "http://a/")], block))}
+    got = of_http([b"Content-Type: text/html; charset=iso-8859-1", b"Content-Encoding: gzip", b"Transfer-Encoding: chunked"], chunked)
     assert got["conversion"][-1] == "é" and got["conversion"][2] == "<urn:x>"
+    latin = b"Content-Type: text/html; charset=iso-8859-1"
+    deflate = zlib.compressobj(wbits=-15)
+    for encoding, data in ((b"gzip", gzip.compress(body[:4]) + gzip.compress(body[4:])), (b"deflate", zlib.compress(body)), (b"deflate", deflate.compress(body) + deflate.flush()), (b"gzip", gzip.compress(b"<p>\xe9</p>" + bytes(range(256)) * 50)[:-40])):
+        assert of_http([latin, b"Content-Encoding: " + encoding], data)["conversion"][-1].startswith("é")
+    got = of_http([latin, b"Content-Encoding: br"], b"\x0b\x02\x80hello\x03")
+    assert got["conversion"][-1] == "" and "content-encoding-not-read: br" in got["metadata"][-1]
+    assert of_http([latin], body, b"\n")["conversion"][-1] == "é"  # bare line ends
+
+
+@pytest.mark.parametrize("body", [b"-6\r\nabc", b"zz\r\nabc\r\n0\r\n\r\n", b"ffffffffffffffffff\r\nabc", b"no chunks at all", b""])
+def test_chunks_that_cannot_be_read_end(body):
+    assert warc.dechunked(body) == body and warc.dechunked(b"3\r\nabc\r\n" + body) in (b"abc", b"abc" + body)
+
+
+@pytest.mark.parametrize("charset", [b"undefined", b"idna", b"punycode", b"hex", b"rot13", b"no-such", b"unicode_escape"])
+def test_odd_character_sets_count_as_utf8(charset):
+    got = of_http([b"Content-Type: text/html; charset=" + charset], "<p>é</p>".encode())
+    assert got["conversion"][-1] == "é" and "charset: utf-8" in got["metadata"][-1]
+
+
+def test_a_late_meta_element_names_the_character_set():
+    page = b"<html><!--" + b"x" * 100_000 + b'--><meta charset="iso-8859-1"><p>\xe9</p>'
+    assert of_http([], page)["conversion"][-1] == "é"
+
+
+@pytest.mark.parametrize("page, want", [(b"a<![foo bar[ x ]]>b", "a ]>b"), (b"a<![CDATA[ x ]]>b", None), (b"a<![", None), (b"a<!DOCTYPE [<!ELEMENT", None), (b"<" * 5000, None), (b"<p>a</p>" * 5000, "\n".join("a" * 5000))])
+def test_broken_markup_has_a_text(page, want):
+    got = of_http([], page)["conversion"][-1]
+    assert want is None or got == want or got == "ab"
+
+
+def test_reading_warc_files_with_bad_lengths(spark, tmp_path):
+    good = bytes(warc.response(1, "http://a.example/", "one\nWARC/1.0 in the text\nWARC/1.1 again"))
+    bad = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %s\r\n\r\nbody\r\n\r\n" % n for n in (b"x", b"-5", b"")]
+    (tmp_path / "z.warc").write_bytes(b"junk\r\n" + good + bad[0] + good + bad[1] + bad[2] + good)
+    got = [bytes(r["record"]) for r in warc.read_warc(spark, str(tmp_path / "z.warc")).collect()]
+    assert len(got) == 6 and [warc.parse(x)[2] for x in got].count(warc.parse(good)[2]) == 3
+    assert all(len(warc.derive(x)) == 2 for x in got)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    assert warc.read_warc(spark, str(tmp_path / "empty.warc")).count() == 0
+
+
+def test_warc_derivatives_of_odd_rows(spark, none):
+    pages = spark.createDataFrame([(None, None, None, "x"), (1, "http://[bad", "<a href='http://[::1'>l</a>", "x"), (2, "", "<p>" + "long " * 200_000, "x"), (2, "", "", "x")], "page_id long, url string, html string, record string")
+    got = warc.derivatives(warc.responses(pages), "page_id").collect()
+    assert len(got) == 8 and max(len(r["body"]) for r in got) == 999_999
+    records = spark.createDataFrame([(1, None), (2, b""), (3, b"junk")], "key long, record binary")
+    assert warc.derivatives(records).count() == 0
+    assert warc.derivatives(warc.responses(pages.limit(0)), "page_id").count() == 0
 
 
 # ---- pipeline ----
