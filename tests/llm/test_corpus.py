@@ -512,6 +512,40 @@ def test_license_scan(spark, odd, none):
     }
     assert got[3]["added"] == ["print"] and got[3]["removed"] == [] and rows[0][1][got[1]["start"] : got[1]["end"]] == "Released under the MIT License."
     assert licenses.scan_licenses(none).count() == 0 and licenses.scan_licenses(odd).count() == 0
+    long = "word " * 300_000
+    odd_ids = spark.createDataFrame([(None, long + "Released under the MIT License. " + long, "x"), (None, "", "x")], "doc_id long, text string, license string")
+    assert [(r["doc_id"], r["license"], r["start"]) for r in licenses.scan_licenses(odd_ids).collect()] == [(None, "MIT", len(long))]
+
+
+def licenses_in(text):
+    scanner = licenses.Scanner()
+    return [(r[2], r[-1]) for a, b, stop in licenses.blocks(text) for r in scanner.scan(text[a:stop], b - a)]
+
+
+def test_every_template_is_found_word_for_word_in_prose():
+    """Against plain search for each wording: the longest that is there wins."""
+    scanner = licenses.Scanner()
+    for name, kind, text in licenses.TEMPLATES:
+        page = "The weather was fine that day and they all went out to see it.\n" + text + "\nNobody knew then what was to come of it."
+        want = {n for n, _, t in licenses.TEMPLATES if licenses.words(t) == licenses.words(text)}
+        got = [r for a, b, stop in licenses.blocks(page) for r in scanner.scan(page[a:stop], b - a)]
+        assert len(got) == 1 and got[0][2] in want and got[0][-1] == "exact", (name, kind, got)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]), ("CC BY-SA 3.0", ["CC-BY-SA-3.0"]), ("Licensed under CC BY-ND 4.0", ["CC-BY-ND-4.0"]), ("BSD License", ["BSD"]),
+    ("SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("MIT License. Licensed under CC BY 4.0.", ["MIT", "CC-BY-4.0"]), ("Licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+    ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", ["Apache-2.0", "MIT"]), ("Licensed under the Apache License, Version 1.1.", [None]), ("Released under the X11 License.", [None]), ("Licensed under CC BY-SA 5.0.", [None]),
+    ("Copyright 2020 Body, who wrote all of this in a long summer.\nOne thing led to another. It rained. Then it was over.\nReleased under the MIT License.", ["MIT"]),
+])
+def test_versions_modifiers_and_several_licenses(text, want):
+    assert [name for name, _ in licenses_in(text)] == want
+
+
+def test_wording_differences():
+    full = next(t for name, kind, t in licenses.TEMPLATES if (name, kind) == ("MIT", "full text"))
+    assert licenses_in(full) == [("MIT", "exact")] and licenses_in(full.replace("merge, publish", "merge, print, publish")) == [("MIT", "variant")]
+    assert licenses_in(full.replace("free of charge", "not free of charge"))[0][0] is None  # another meaning
 
 
 # ---- WARC ----
