@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.functions.semantics import count_char, hamming, mean_phred, slice_at, translate_codons  # noqa: F401
+from assayflow.functions.sizes import MOST_BROADCAST_BYTES, few, table_bytes
 
 
 @dataclass(frozen=True)
@@ -22,18 +23,49 @@ class Slice:
     name: str = "Index1"
 
 
-def _candidates(at: Slice, plus_one: bool) -> Column:
-    """Slices in order of preference: at the start, one and two before, one after."""
-    shifts = [0, -1, -2] + ([1] if plus_one else [])
-    each = [F.struct(F.lit(i).alias("rank"), slice_at(F.col(at.column), at.start + s, at.length).alias("s")) for i, s in enumerate(shifts)]
-    return F.filter(F.array(*each), lambda x: x["s"].isNotNull())
+def with_match(reads: DataFrame, keys: DataFrame, at: Slice, out: str = "key", plus_one: bool = True, ambiguous: str = "discard", fuzzy_needs_plus_one: bool = True) -> DataFrame:
+    """The reads with a column ``out``: the key that the slice, or a shifted one, is exactly; else the nearest by substitutions; else null.
+
+    Shifts come in order of preference: at the start, one and two before, one after. Keys are few beside reads, so the reads stay where they
+    are: each shift is a lookup in the broadcast keys (up to a size; joins shuffle beyond). For substitutions, keys are listed by each of
+    their ``mismatches + 1`` parts, of which one has to agree, and the candidates are told apart within the row. Of several nearest keys
+    none counts (``discard``) or the first by ``ord`` (``first``). Keys of another length than the slice never match.
+    """
+    own = keys.groupBy("key").agg(F.min("ord" if "ord" in keys.columns else "key").alias("ord"))
+    near = table_bytes(own) <= MOST_BROADCAST_BYTES
+    held = F.broadcast if near else lambda t: t
+    shifts, column, tried = [0, -1, -2] + ([1] if plus_one else []), F.col(at.column), []
+    found = reads
+    for i, shift in enumerate(shifts):
+        tried.append(f"__{out}{i}")
+        found = found.join(held(own.select(F.col("key").alias(tried[-1]))), slice_at(column, at.start + shift, at.length) == F.col(tried[-1]), "left")
+    found = found.withColumn(out, F.coalesce(*tried)).drop(*tried)
+    if not at.mismatches or (fuzzy_needs_plus_one and not plus_one):
+        return found
+    parts = at.mismatches + 1
+    edges = [at.length * i // parts for i in range(parts + 1)]
+    listed = own.where(F.length("key") == at.length).select("key", "ord", F.split("key", "").alias("letters"))
+    found = found.withColumn("__s", F.when(F.col(out).isNull(), slice_at(column, at.start, at.length)))
+    lists = []
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        lists.append(f"__list{i}")
+        by_part = listed.groupBy(F.substring("key", a + 1, b - a).alias(f"__part{i}")).agg(F.collect_list(F.struct("key", "ord", "letters")).alias(lists[-1]))
+        found = found.join(held(by_part), F.substring("__s", a + 1, b - a) == F.col(f"__part{i}"), "left").drop(f"__part{i}")
+    none = F.array().cast(found.schema[lists[0]].dataType)
+    every = F.concat(*[F.coalesce(c, none) for c in lists])
+    differ = lambda k, letters: F.size(F.filter(F.zip_with(k["letters"], letters, lambda x, y: x != y), lambda x: x))
+    close = F.transform(F.array(F.split("__s", "")), lambda letters: F.filter(F.transform(every, lambda k: F.struct(differ(k, letters).alias("distance"), k["ord"].alias("ord"), k["key"].alias("key"))), lambda k: k["distance"] <= at.mismatches))[0]
+    if ambiguous == "first":
+        best = F.array_min(close)["key"]
+    else:
+        best = F.transform(F.array(F.array_distinct(close)), lambda x: F.when(F.size(F.filter(x, lambda k: k["distance"] == F.array_min(x)["distance"])) == 1, F.array_min(x)["key"]))[0]
+    return found.withColumn(out, F.coalesce(out, F.when(F.col("__s").isNotNull(), best))).drop("__s", *lists)
 
 
 def shifted_match(reads: DataFrame, keys: DataFrame, at: Slice, plus_one: bool = True) -> DataFrame:
     """``(read_id, key)``: reads whose slice, or a shifted one, is a key exactly; the first in order of preference."""
-    tried = reads.select("read_id", F.explode(_candidates(at, plus_one)).alias("c")).select("read_id", "c.rank", F.col("c.s").alias("key"))
-    hit = tried.join(keys.select("key").distinct(), "key")
-    return hit.groupBy("read_id").agg(F.min(F.struct("rank", "key")).alias("best")).select("read_id", F.col("best.key").alias("key"))
+    exact = Slice(at.column, at.start, at.length, 0, at.name)
+    return with_match(reads.select("read_id", at.column), keys, exact, "key", plus_one).where("key is not null").select("read_id", "key")
 
 
 def _segments(s: Column, length: int, parts: int) -> Column:
@@ -65,27 +97,33 @@ def nearest(hits: DataFrame, ambiguous: str = "discard", order: DataFrame | None
 
 
 def tolerant_match(reads: DataFrame, keys: DataFrame, at: Slice, plus_one: bool = True, ambiguous: str = "discard", fuzzy_needs_plus_one: bool = True) -> DataFrame:
-    """``(read_id, key)``: exact and shifted matches; those left over by substitutions, if allowed."""
-    exact = shifted_match(reads, keys, at, plus_one)
-    if not at.mismatches or (fuzzy_needs_plus_one and not plus_one):
-        return exact
-    rest = reads.join(exact, "read_id", "left_anti").select("read_id", slice_at(F.col(at.column), at.start, at.length).alias("s"))
-    order = keys.groupBy("key").agg(F.min("ord").alias("ord")) if "ord" in keys.columns else None
-    return exact.unionByName(nearest(hamming_join(rest, keys, at.length, at.mismatches), ambiguous, order))
+    """``(read_id, key)`` of the reads that :func:`with_match` finds a key for."""
+    found = with_match(reads.select("read_id", at.column), keys, at, "key", plus_one, ambiguous, fuzzy_needs_plus_one)
+    return found.where("key is not null").select("read_id", "key")
 
 
-def assign_samples(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, indexes: list[Slice], plus_one: bool = True) -> DataFrame:
-    """``(read_id, sample, ids)``: all indexes match, and a sample has their ids in order; the first sample of a tuple wins.
+def with_sample(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, indexes: list[Slice], plus_one: bool = True) -> DataFrame:
+    """The reads with ``id0, id1, ...`` (null from the first index on that matches no barcode) and ``sample`` (null if no sample has these ids).
 
-    ``barcodes (id, key)``; ``samples (ord, sample, ids array)``, in the order of ``indexes``. Substitutions look at all
-    barcodes, used or not.
+    ``barcodes (id, key)``, one id for each key; ``samples (ord, sample, ids array)``, in the order of ``indexes``; the first sample of a tuple
+    wins. Substitutions look at all barcodes, used or not. No read is shuffled while barcodes and samples are small.
     """
-    found = None
+    found, ids = reads, [f"id{i}" for i in range(len(indexes))]
+    codes = barcodes.groupBy("key").agg(F.min("id").alias("__id"))
     for i, at in enumerate(indexes):
-        one = tolerant_match(reads, barcodes, at, plus_one).join(barcodes, "key").select("read_id", F.col("id").alias(f"id{i}"))
-        found = one if found is None else found.join(one, "read_id")
-    first = samples.groupBy("ids").agg(F.min(F.struct("ord", "sample")).alias("x")).select("ids", F.col("x.sample").alias("sample"))
-    return found.select("read_id", F.array(*[F.col(f"id{i}") for i in range(len(indexes))]).alias("ids")).join(first, "ids").select("read_id", "sample", "ids")
+        found = with_match(found, barcodes, at, "__key", plus_one)
+        found = found.join(few(codes.withColumnRenamed("key", "__code")), F.col("__key") == F.col("__code"), "left")
+        known = F.col("__id") if not i else F.when(F.col(ids[i - 1]).isNotNull(), F.col("__id"))
+        found = found.withColumn(ids[i], known).drop("__key", "__code", "__id")
+    first = samples.groupBy("ids").agg(F.min(F.struct("ord", "sample")).alias("x")).select(F.col("ids").alias("__ids"), F.col("x.sample").alias("sample"))
+    return found.join(few(first), F.array(*ids) == F.col("__ids"), "left").drop("__ids")
+
+
+def assign_samples(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, indexes: list[Slice], plus_one: bool = True) -> DataFrame:
+    """``(read_id, sample, ids)`` of the reads that :func:`with_sample` finds a sample for."""
+    columns = list(dict.fromkeys(["read_id", *(at.column for at in indexes)]))
+    found = with_sample(reads.select(*columns), barcodes, samples, indexes, plus_one)
+    return found.where("sample is not null").select("read_id", "sample", F.array(*[f"id{i}" for i in range(len(indexes))]).alias("ids"))
 
 
 def good_quality(reads: DataFrame, at: Slice, least: float, base: int = 33, qual: str = "qual") -> DataFrame:
@@ -95,38 +133,59 @@ def good_quality(reads: DataFrame, at: Slice, least: float, base: int = 33, qual
     return reads.where(mean_phred(slice_at(F.col(qual), at.start, at.length), base) >= least)
 
 
-def count_matrix(tags: DataFrame, assigned: DataFrame, library: DataFrame, samples: DataFrame) -> DataFrame:
-    """``(peptide, sample, score)``: reads by library tag and sample, zeros included.
-
-    Tags ``(read_id, key)``, library ``(name, key)``: only library sequences that occur once are counted.
-    """
-    single = library.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("peptide")).where("n = 1").select("key", "peptide")
-    counted = tags.join(assigned.select("read_id", "sample"), "read_id").join(single, "key").groupBy("peptide", "sample").agg(F.count("*").alias("n"))
+def _cells(counted: DataFrame, single: DataFrame, samples: DataFrame) -> DataFrame:
+    """All library peptides by all samples, zeros included."""
     cells = single.select("peptide").crossJoin(samples.select("sample").distinct())
     return cells.join(counted, ["peptide", "sample"], "left").select("peptide", "sample", F.coalesce("n", F.lit(0)).cast("long").alias("score"))
 
 
-def reference_free_counts(reads: DataFrame, assigned: DataFrame, at: Slice) -> DataFrame:
-    """``(peptide, sample, score)``: each tag slice is its own reference."""
-    own = reads.select("read_id", slice_at(F.col(at.column), at.start, at.length).alias("peptide")).where("peptide is not null")
-    return own.join(assigned.select("read_id", "sample"), "read_id").groupBy("peptide", "sample").agg(F.count("*").alias("score"))
+def _single(library: DataFrame) -> DataFrame:
+    """Library sequences that occur once: only they are counted."""
+    return library.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("peptide")).where("n = 1").select("key", "peptide")
+
+
+def count_matrix(tags: DataFrame, assigned: DataFrame, library: DataFrame, samples: DataFrame) -> DataFrame:
+    """``(peptide, sample, score)``: reads by library tag and sample, of tags ``(read_id, key)`` and assigned reads ``(read_id, sample)``."""
+    single = _single(library)
+    counted = tags.join(assigned.select("read_id", "sample"), "read_id").join(single, "key").groupBy("peptide", "sample").agg(F.count("*").alias("n"))
+    return _cells(counted, single, samples)
+
+
+def count_reads(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, indexes: list[Slice], library: DataFrame, tag: Slice, plus_one: bool = True, ambiguous: str = "first") -> DataFrame:
+    """``(peptide, sample, score)`` of the reads in one pass: sample and tag are found row by row, and only partial counts are shuffled."""
+    single = _single(library)
+    found = with_sample(reads, barcodes, samples, indexes, plus_one).where("sample is not null")
+    found = with_match(found, library, tag, "key", plus_one, ambiguous).where("key is not null").groupBy("key", "sample").agg(F.count("*").alias("n"))
+    return _cells(found.join(few(single), "key").select("peptide", "sample", "n"), single, samples)
+
+
+def reference_free_counts(assigned: DataFrame, at: Slice) -> DataFrame:
+    """``(peptide, sample, score)`` of reads with their ``sample``: each tag slice is its own reference."""
+    own = assigned.where("sample is not null").select(slice_at(F.col(at.column), at.start, at.length).alias("peptide"), "sample")
+    return own.where("peptide is not null").groupBy("peptide", "sample").agg(F.count("*").alias("score"))
+
+
+def diagnostics(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, indexes: list[Slice], library: DataFrame, tag: Slice, plus_one: bool = True) -> DataFrame:
+    """By sample: reads whose first j + 1 ids are the sample's, for each j (``level1``, ...), and of the last those with a tag (``tags``).
+
+    One pass over the reads: they are counted by all their ids, and the few counts are summed by each number of first ids.
+    """
+    ids = [f"id{i}" for i in range(len(indexes))]
+    found = with_match(with_sample(reads, barcodes, samples, indexes, plus_one), library, tag, "__tag", plus_one, "first")
+    counted = found.where("id0 is not null").groupBy(*ids).agg(F.count("*").alias("n"), F.count("__tag").alias("tagged"))
+    out = samples.select("sample", "ids")
+    for j in range(len(ids)):
+        some = ids[: j + 1]
+        level = counted.where(F.col(ids[j]).isNotNull()).groupBy(*some).agg(F.sum("n").alias(f"level{j + 1}"), F.sum("tagged").alias("tags"))
+        same = reduce(lambda a, b: a & b, [F.col("ids")[i] == F.col(c) for i, c in enumerate(some)])
+        out = out.drop("tags").join(level, same, "left").drop(*some)
+    return out.select("sample", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in [*(f"level{j + 1}" for j in range(len(ids))), "tags"]])
 
 
-def diagnostics(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, indexes: list[Slice], tags: DataFrame, plus_one: bool = True) -> DataFrame:
-    """By sample: reads whose first j + 1 ids are the sample's, for each j, and of the last those with a tag."""
-    matched = [
-        tolerant_match(reads, barcodes, at, plus_one).join(barcodes, "key").select("read_id", F.col("id").alias(f"id{i}")) for i, at in enumerate(indexes)
-    ]
-    out, found = samples.select("sample", "ids"), None
-    for i, one in enumerate(matched):
-        found = one if found is None else found.join(one, "read_id")
-        level = found.groupBy(*[f"id{j}" for j in range(i + 1)]).agg(F.count("*").alias(f"level{i + 1}"))
-        same = reduce(lambda a, b: a & b, [F.col("ids")[j] == F.col(f"id{j}") for j in range(i + 1)])
-        out = out.join(level, same, "left").drop(*[f"id{j}" for j in range(i + 1)])
-    tagged = found.join(tags.select("read_id"), "read_id", "left_semi").groupBy(*[f"id{j}" for j in range(len(indexes))]).agg(F.count("*").alias("tags"))
-    same = reduce(lambda a, b: a & b, [F.col("ids")[j] == F.col(f"id{j}") for j in range(len(indexes))])
-    out = out.join(tagged, same, "left")
-    return out.select("sample", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in [*(f"level{i + 1}" for i in range(len(indexes))), "tags"]])
+def cumulative(found: DataFrame, names: list[str]) -> DataFrame:
+    """:func:`diagnostics` under the names of its file: each level is called by all indexes up to it, the last by the tag too."""
+    joined = [" + ".join(names[: j + 1]) for j in range(len(names))]
+    return found.select("sample", *[F.col(f"level{j + 1}").alias(x) for j, x in enumerate(joined)], F.col("tags").alias(f"{joined[-1]} + DNA tag"))
 
 
 def unmapped(reads: DataFrame, mapped: DataFrame, by_sequence: bool = False) -> DataFrame:
@@ -169,11 +228,12 @@ def replicate_histogram(samples: DataFrame) -> DataFrame:
     return replicate_summary(samples).groupBy("replicates").agg(F.count("*").alias("bases"))
 
 
-def match_rates(reads: DataFrame, assigned: DataFrame, tags: DataFrame) -> DataFrame:
-    """One row: reads, percent with all indexes, percent with indexes and tag."""
-    marked = reads.select("read_id").join(assigned.select("read_id", F.lit(1).alias("i")), "read_id", "left").join(tags.select("read_id", F.lit(1).alias("t")), "read_id", "left")
+def match_rates(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, indexes: list[Slice], library: DataFrame, tag: Slice, plus_one: bool = True) -> DataFrame:
+    """One row: reads, percent with a sample's indexes, percent with indexes and tag."""
+    found = with_match(with_sample(reads, barcodes, samples, indexes, plus_one), library, tag, "__tag", plus_one, "first")
     n = F.count("*")
-    return marked.agg(n.alias("n_reads"), (100 * F.count("i") / n).alias("pct_index"), (100 * F.count(F.when(F.col("i").isNotNull() & F.col("t").isNotNull(), 1)) / n).alias("pct_index_tag"))
+    both = F.count(F.when(F.col("sample").isNotNull() & F.col("__tag").isNotNull(), 1))
+    return found.agg(n.alias("n_reads"), (100 * F.count("sample") / n).alias("pct_index"), (100 * both / n).alias("pct_index_tag"))
 
 
 def duplicate_samples(samples: DataFrame) -> DataFrame:

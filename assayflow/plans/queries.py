@@ -397,7 +397,7 @@ _ONE = f"{READS}, {s.tolerant_sql('x', INDEX, 'bc', 'discard')}, asg AS (SELECT
 
 
 def _assigned(spark, d):
-    return demux.assign_samples(s.reads(spark, d), s.barcodes(spark, d), s.samples(spark, d), [INDEX])
+    return demux.with_sample(s.reads(spark, d), s.barcodes(spark, d), s.samples(spark, d), [INDEX])
 
 
 def _tags(spark, d):
@@ -405,7 +405,7 @@ def _tags(spark, d):
 
 
 def _counted(spark, d):
-    return demux.count_matrix(_tags(spark, d), _assigned(spark, d), s.library(spark, d), s.samples(spark, d))
+    return demux.count_reads(s.reads(spark, d), s.barcodes(spark, d), s.samples(spark, d), [INDEX], s.library(spark, d), TAG)
 
 
 _CELLS = f"{_ONE}, cnt AS (SELECT peptide, sample, count(*) AS n FROM t JOIN asg USING (read_id) JOIN single USING (key) GROUP BY 1, 2), cells AS (SELECT peptide, sample, coalesce(n, 0) AS score FROM single CROSS JOIN (SELECT DISTINCT sample FROM smp) LEFT JOIN cnt USING (peptide, sample))"
@@ -418,13 +418,13 @@ def demux_counts(spark, d):
 
 @query(f"WITH {_ONE} SELECT substr(seq, 9, 10) AS peptide, sample, count(*) AS score FROM r JOIN asg USING (read_id) WHERE length(seq) >= 18 GROUP BY 1, 2")
 def demux_ref_independent(spark, d):
-    return demux.reference_free_counts(s.reads(spark, d), _assigned(spark, d), TAG)
+    return demux.reference_free_counts(_assigned(spark, d), TAG)
 
 
 @query(f"WITH {_PAIR}, {s.tolerant_sql('t', TAG, 'lib', 'first')}, l1 AS (SELECT bc.id AS a, count(*) AS n FROM x JOIN bc USING (key) GROUP BY 1), l2 AS (SELECT a, b, count(*) AS n, count(t.read_id) AS g FROM ids LEFT JOIN t ON ids.read_id = t.read_id GROUP BY 1, 2) SELECT sample, coalesce(l1.n, 0) AS level1, coalesce(l2.n, 0) AS level2, coalesce(l2.g, 0) AS tags FROM ps LEFT JOIN l1 USING (a) LEFT JOIN l2 USING (a, b)")
 def demux_diagnostics(spark, d):
     codes = s.barcodes(spark, d).union(s.second_barcodes(spark, d))
-    return demux.diagnostics(s.reads(spark, d), codes, s.paired_samples(spark, d), [INDEX, INDEX2], _tags(spark, d))
+    return demux.diagnostics(s.reads(spark, d), codes, s.paired_samples(spark, d), [INDEX, INDEX2], s.library(spark, d), TAG)
 
 
 @query(f"WITH {_ONE} SELECT read_id, seq FROM r WHERE read_id NOT IN (SELECT read_id FROM t)")
@@ -442,7 +442,7 @@ _CODE = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sem.CODONS.items())
 
 @query(f"WITH {_ONE}, c AS (SELECT substr(seq, 9, 9) AS nt, sample, count(*) AS n FROM r JOIN asg USING (read_id) WHERE length(seq) >= 17 GROUP BY 1, 2), cd AS (SELECT * FROM {_CODE}), a AS (SELECT c1.v || c2.v || c3.v AS peptide, sample, n FROM c JOIN cd c1 ON c1.k = substr(nt, 1, 3) JOIN cd c2 ON c2.k = substr(nt, 4, 3) JOIN cd c3 ON c3.k = substr(nt, 7, 3)) SELECT peptide, sample, CAST(sum(n) AS BIGINT) AS score FROM a GROUP BY 1, 2")
 def demux_translate(spark, d):
-    return demux.by_translation(demux.reference_free_counts(s.reads(spark, d), _assigned(spark, d), demux.Slice("seq", 8, 9)))
+    return demux.by_translation(demux.reference_free_counts(_assigned(spark, d), demux.Slice("seq", 8, 9)))
 
 
 @query(f"WITH {READS} SELECT substr(key, 1, 3) AS key, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM lib GROUP BY 1")
@@ -462,7 +462,7 @@ def demux_replicate_histogram(spark, d):
 
 @query(f"WITH {_ONE} SELECT count(*) AS n_reads, round(100 * count(asg.read_id) / count(*), 6) AS pct_index, round(100 * count(CASE WHEN asg.read_id IS NOT NULL AND t.read_id IS NOT NULL THEN 1 END) / count(*), 6) AS pct_index_tag FROM r LEFT JOIN asg USING (read_id) LEFT JOIN t ON t.read_id = r.read_id")
 def demux_match_rates(spark, d):
-    return demux.match_rates(s.reads(spark, d), _assigned(spark, d), _tags(spark, d)).select("n_reads", r6("pct_index"), r6("pct_index_tag"))
+    return demux.match_rates(s.reads(spark, d), s.barcodes(spark, d), s.samples(spark, d), [INDEX], s.library(spark, d), TAG).select("n_reads", r6("pct_index"), r6("pct_index_tag"))
 
 
 @query(f"WITH {READS}, q AS (SELECT read_id, sum(ascii(substr(qual, CAST(i AS BIGINT), 1)) - 33) AS total FROM r, range(9, 19) t(i) GROUP BY 1) SELECT read_id FROM q WHERE total / 10.0 >= 15")
