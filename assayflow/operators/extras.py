@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.functions.semantics import count_char, ieee_div, kmers
+from assayflow.sources.scratch import shared_folder
 
 
 def target_norm(m: DataFrame, targets: DataFrame) -> DataFrame:
@@ -222,8 +223,7 @@ def connected(pairs: DataFrame) -> DataFrame:
     """``(name, root)`` of the connected groups of ``(a, b)``: the least name, spread until nothing changes."""
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     root = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "name")
-    if not root.sparkSession.conf.get("spark.checkpoint.dir", None) and not root.sparkSession.sparkContext.getCheckpointDir():
-        root.sparkSession.sparkContext.setCheckpointDir("/tmp/checkpoints/assayflow")
+    shared_folder(root.sparkSession)
     while True:
         near = both.join(root, F.col("b") == F.col("name")).groupBy("a").agg(F.min("root").alias("near"))
         new = root.join(near, F.col("name") == F.col("a"), "left").select("name", F.least("root", "near").alias("hop"))

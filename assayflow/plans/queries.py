@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayflow.functions import semantics as sem
 from assayflow.operators import binning, deconv, demux, enrich, extras, info, link, matrix, normalize
+from assayflow.plans import files
 from assayflow.plans import surrogates as s
 from assayflow.plans.surrogates import BINS, DENSE, INDEX, INDEX2, READS, SEQS, SETS, TAG, L, M
 from assayflow.plans.workflow import flagship
@@ -747,3 +748,7 @@ def dilution(spark, d):
 @query()
 def full_pipeline(spark, d):
     return flagship(spark, d)
+
+
+QUERIES |= files.QUERIES
+ORACLE_SQL |= files.ORACLE_SQL

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,21 +40,39 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """``(read_id, name, seq, qual)`` of a file of four-line records, plain or gzip.
 
     ``read_id`` is the record's place, so that two files pair by it. Line numbers come from the sizes of the partitions
-    before: their counts are the only data that the driver sees.
+    before: their counts are the only data that the driver sees. Records are put together where they are read; only the
+    lines of records that two partitions share, a few for each partition, are shuffled.
     """
     raw = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
     part, at = F.shiftright("id", 33).cast("int"), F.col("id").bitwiseAND((1 << 33) - 1)
     sizes = raw.groupBy(part.alias("part")).count().orderBy("part").collect()
-    starts, total = [], 0
+    spans, total = [], 0
     for r in sizes:
-        starts.append((r["part"], total))
+        spans.append((r["part"], total, total + r["count"]))
         total += r["count"]
     if total % 4:
         raise ValueError(f"{total} lines are not whole records of four")
-    begin = spark.createDataFrame(starts, "part int, start long")
-    lines = raw.select(part.alias("part"), at.alias("at"), F.rtrim("value").alias("value")).join(F.broadcast(begin), "part").withColumn("line", F.col("start") + F.col("at"))
+    begin = spark.createDataFrame(spans, "part int, start long, stop long")
+    lines = raw.select(part.alias("part"), at.alias("at"), F.rtrim("value").alias("value")).join(F.broadcast(begin), "part")
+    lines = lines.select("value", (F.col("start") + F.col("at")).alias("line"), "start", "stop").withColumn("read_id", F.floor(F.col("line") / 4))
+    whole = (F.col("read_id") * 4 >= F.col("start")) & (F.col("read_id") * 4 + 3 < F.col("stop"))
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[str] = []
+        first = None
+        for batch in batches:
+            if first is None and len(batch):
+                first = int(batch["read_id"].iloc[0])
+            kept += batch["value"].tolist()
+            n = len(kept) // 4
+            if n:
+                yield pd.DataFrame({"read_id": range(first, first + n), "name": kept[0 : 4 * n : 4], "seq": kept[1 : 4 * n : 4], "qual": kept[3 : 4 * n : 4]})
+                kept, first = kept[4 * n :], first + n
+
     of = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
-    return lines.groupBy(F.floor(F.col("line") / 4).alias("read_id")).agg(of(0).alias("name"), of(1).alias("seq"), of(3).alias("qual"))
+    edges = lines.where(~whole).groupBy("read_id").agg(of(0).alias("name"), of(1).alias("seq"), of(3).alias("qual"))
+    inner = lines.where(whole).select("read_id", "value").mapInPandas(records, "read_id long, name string, seq string, qual string")
+    return inner.unionByName(edges)
 
 
 def pair_reads(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -59,10 +80,11 @@ def pair_reads(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(second.select("read_id", F.col("seq").alias("seq2"), F.col("qual").alias("qual2")), "read_id")
 
 
-def write_fastq(reads: DataFrame, path: str, gzip: bool = False) -> None:
-    """A folder for each sample."""
+def write_fastq(reads: DataFrame, path: str, gzip: bool = False, mode: str = "error") -> None:
+    """A folder for each sample; reads without a ``sample`` column go to one folder."""
     record = F.concat_ws("\n", "name", "seq", F.lit("+"), "qual").alias("value")
-    reads.select("sample", record).write.partitionBy("sample").option("compression", "gzip" if gzip else "none").text(path)
+    by = [c for c in ("sample",) if c in reads.columns]
+    reads.select(*by, record).write.mode(mode).partitionBy(*by).option("compression", "gzip" if gzip else "none").text(path)
 
 
 def read_sample_sheet(spark: SparkSession, path: str, name: str = "SampleName", indexes: tuple[str, ...] = ("Index1", "Index2")) -> DataFrame:
@@ -108,10 +130,11 @@ def read_list(spark: SparkSession, path: str, column: str = "peptide") -> DataFr
 
 
 def read_enriched_folder(spark: SparkSession, folder: str, ending: str = "_enriched.txt") -> DataFrame:
-    """``(sample, peptide)`` of every file of that ending; the sample is the file name without it."""
-    raw = spark.read.option("pathGlobFilter", f"*{ending}").text(folder)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return raw.select(F.substring_index(name, ending, 1).alias("sample"), F.rtrim("value").alias("peptide")).where("peptide <> ''").distinct()
+    """``(sample, peptide)`` of every file (or folder of part files) of that ending; the sample is its name without it."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder)
+    name = F.element_at(F.filter(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), lambda x: x.endswith(ending)), -1)
+    of = raw.select(F.when(F.col("_metadata.file_path").contains(ending), F.substring_index(name, ending, 1)).alias("sample"), F.rtrim("value").alias("peptide"))
+    return of.where("sample is not null and peptide <> ''").distinct()
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -197,3 +220,8 @@ def write_report(df: DataFrame, path: str) -> None:
 def write_enriched(enriched: DataFrame, path: str) -> None:
     """A folder for each set."""
     enriched.select("set_id", F.col("peptide").alias("value")).write.partitionBy("set_id").mode("overwrite").text(path)
+
+
+def write_named(names: DataFrame, path: str) -> None:
+    """One name a line in a folder of that name, which readers take as a file; ``read_enriched_folder`` finds it by its ending."""
+    names.coalesce(1).write.mode("overwrite").text(path)
