@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayflow.functions.semantics import count_char, ieee_div, kmers
+from assayflow.functions.semantics import NAN, count_char, ieee_div, kmers
 from assayflow.sources.scratch import shared_folder
 
 
@@ -35,16 +37,95 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def sample_correlations(m: DataFrame) -> DataFrame:
-    """``(a, b, r)`` for samples a < b over the peptides that both have."""
-    x, y = m.select("peptide", F.col("sample").alias("a"), F.col("score").alias("x")), m.select("peptide", F.col("sample").alias("b"), F.col("score").alias("y"))
-    return x.join(y, "peptide").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    """``(a, b, r)`` for samples a < b over the peptides that both have.
+
+    Each task sums products of its peptides' rows into matrices of samples by samples; only these sums are shuffled, not pairs of cells.
+    """
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place: dict[str, int] = {}
+        total = np.zeros((len(names), 0, 0))
+        for batch in batches:
+            for of in batch["samples"]:
+                for x in of:
+                    place.setdefault(x, len(place))
+            if len(place) > total.shape[1]:
+                total = np.pad(total, ((0, 0), (0, len(place) - total.shape[1]), (0, len(place) - total.shape[1])))
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
+                x, has = np.zeros((len(part), len(place))), np.zeros((len(part), len(place)))
+                for i, (of, scores) in enumerate(zip(part["samples"], part["scores"])):
+                    where = [place[s] for s in of]
+                    x[i, where], has[i, where] = scores, 1.0
+                y = x * x
+                total += np.stack((has.T @ has, x.T @ has, has.T @ x, y.T @ has, has.T @ y, x.T @ x))
+        order = sorted(place)
+        rows = [(a, b, *total[:, place[a], place[b]]) for i, a in enumerate(order) for b in order[i + 1 :]]
+        yield pd.DataFrame(rows, columns=["a", "b", *names])
+
+    by = m.groupBy("peptide").agg(F.collect_list("sample").alias("samples"), F.collect_list(F.coalesce("score", F.lit(NAN))).alias("scores"))
+    parts = by.mapInPandas(sums, "a string, b string, " + ", ".join(f"{n} double" for n in names))
+    by = parts.groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in names]).where("n > 0")
+    n, sa, sb, saa, sbb, sab = map(F.col, names)
+    return by.select("a", "b", ieee_div(n * sab - sa * sb, F.sqrt(n * saa - sa * sa) * F.sqrt(n * sbb - sb * sb)).alias("r"))
+
+
+def ranked_in_sample(m: DataFrame) -> DataFrame:
+    """Scores as their ranks in each sample, ties at their mean: correlations of these are Spearman's.
+
+    Distinct scores are ranked by running counts of scores, so that a window orders a sample's distinct scores and not its peptides.
+    """
+    times = m.groupBy("sample", "score").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("sample").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = times.select("sample", "score", (F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / 2).alias("__rank"))
+    return m.join(ranks, ["sample", "score"]).select("peptide", "sample", F.col("__rank").alias("score"))
+
+
+#: Peptides of a block when all pairs are correlated.
+CORRELATED = 2048
 
 
-def peptide_correlations(m: DataFrame, peptides: DataFrame, least: float = 0.8) -> DataFrame:
-    """``(a, b, r)`` for the given peptides, a < b, with an absolute correlation over samples of at least ``least``."""
-    own = m.join(peptides.select("peptide").distinct(), "peptide", "left_semi")
-    x, y = own.select("sample", F.col("peptide").alias("a"), F.col("score").alias("x")), own.select("sample", F.col("peptide").alias("b"), F.col("score").alias("y"))
-    return x.join(y, "sample").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r")).where(F.abs("r") >= least)
+def unit_vectors(x: np.ndarray, method: str) -> np.ndarray:
+    """Rows whose products are the correlations of the rows of ``x``: NaN rows where a row is constant."""
+    if method == "spearman":
+        x = pd.DataFrame(x).rank(axis=1).to_numpy()
+    if method == "kendall":  # tau-b: signs of the differences of all pairs of samples
+        i, j = np.triu_indices(x.shape[1], 1)
+        x = np.sign(x[:, i] - x[:, j])
+    elif method in ("pearson", "spearman"):
+        x = x - x.mean(axis=1, keepdims=True)
+    else:
+        raise ValueError(f"unknown correlation: {method}")
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.full(x.shape, np.nan), where=size > 1e-12)
+
+
+def peptide_correlations(m: DataFrame, least: float = 0.8, min_max: float = 0.0, method: str = "pearson") -> DataFrame:
+    """``(a, b, r)`` for peptides a < b of a dense matrix whose largest score is at least ``min_max``, with an absolute correlation over samples of at least ``least``.
+
+    ``method``: pearson, spearman or kendall (tau-b). Peptides are dealt into blocks by hash, and each pair of blocks is one product of
+    two bounded matrices in one task: pairs are never shuffled, and only those that reach ``least`` leave the task.
+    """
+    kept = m.groupBy("peptide").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "score"))), lambda c: c["score"]).alias("v"), F.max("score").alias("__max")).where(F.col("__max") >= min_max).drop("__max")
+    blocks = max(1, -(-kept.count() // CORRELATED))
+    own = kept.withColumns({"own": F.pmod(F.xxhash64("peptide"), F.lit(blocks)), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
+    own = own.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def products(group: pd.DataFrame) -> pd.DataFrame:
+        one, two = (group[group["own"] == group[x].iloc[0]] for x in "ij")
+        names = [g["peptide"].to_numpy(object) for g in (one, two)]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": [], "r": []}).astype({"a": str, "b": str, "r": float})
+        r = unit_vectors(np.stack(one["v"]), method) @ unit_vectors(np.stack(two["v"]), method).T
+        x, y = np.nonzero(np.abs(r) >= least)
+        a, b = names[0][x], names[1][y]
+        same = group["i"].iloc[0] == group["j"].iloc[0]
+        keep = a < b if same else a != b
+        low, high = np.where(a < b, a, b), np.where(a < b, b, a)
+        return pd.DataFrame({"a": low[keep], "b": high[keep], "r": r[x, y][keep]})
+
+    return own.groupBy("i", "j").applyInPandas(products, "a string, b string, r double")
 
 
 def welch_t(m: DataFrame, first: Column, second: Column) -> DataFrame:

@@ -285,7 +285,7 @@ def bin_stats(spark, d):
     return binning.bin_stats(m, s.bins_of(m), hdi=0.75, inclusive=True).select("sample", "bin_id", r6("mean"), r6("sd"), "n_used")
 
 
-@query(f"WITH {DENSE}, {BINS}, z AS (SELECT sample, bin_id, avg(score) AS mean FROM d JOIN bins USING (peptide) WHERE bin_id = 1 OR sample NOT LIKE 'N%' GROUP BY 1, 2) SELECT peptide, sample, bin_id FROM d JOIN bins USING (peptide) WHERE sample LIKE 'N%' AND bin_id <> 1")
+@query(f"WITH {DENSE}, {BINS}, x AS (SELECT peptide, sample, bin_id, CASE WHEN bin_id <> 1 AND sample LIKE 'N%' THEN 0.0 ELSE score + 1 END AS score FROM d JOIN bins USING (peptide)), o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY sample, bin_id) AS n FROM x WINDOW w AS (PARTITION BY sample, bin_id ORDER BY score, peptide)), st AS (SELECT sample, bin_id, avg(score) FILTER (rn > floor(n * 0.025) AND rn <= n - floor(n * 0.025)) AS mean FROM o GROUP BY 1, 2) SELECT peptide, sample, bin_id FROM x JOIN st USING (sample, bin_id) WHERE coalesce(mean, 0) = 0")
 def nan_report(spark, d):
     m = dense(spark, d)
     bins = s.bins_of(m)
@@ -314,10 +314,14 @@ def enrich_calls(spark, d):
     return enrich.enriched([(m, [40, 10]), (m, [5])], sets, m, [2000, 100])
 
 
-@query(f"WITH {_CALLS}, n AS (SELECT set_id, string_agg(sample, ', ' ORDER BY sample) AS replicates FROM sets WHERE sample LIKE '%\\_1' ESCAPE '\\' OR sample LIKE '%\\_2' ESCAPE '\\' GROUP BY 1) SELECT set_id, replicates, CASE WHEN NOT ok THEN 'Raw read count threshold' ELSE 'No enriched peptides' END AS reason FROM n JOIN u USING (set_id) WHERE NOT ok OR set_id NOT IN (SELECT set_id FROM t WHERE a AND b)")
+_FEW = f"{DENSE}, {SETS}, two AS (SELECT * FROM sets WHERE sample LIKE '%\\_1' ESCAPE '\\' OR sample LIKE '%\\_2' ESCAPE '\\'), t AS (SELECT set_id, peptide, min(score) >= 80 AND max(score) >= 110 AS a FROM d JOIN two USING (sample) GROUP BY 1, 2), x AS (SELECT set_id, sample, sum(score) AS x FROM d JOIN two USING (sample) GROUP BY 1, 2), u AS (SELECT set_id, min(x) >= (SELECT 0.94 * max(x) FROM x) AS ok FROM x GROUP BY 1), n AS (SELECT set_id, string_agg(sample, ', ' ORDER BY sample) AS replicates FROM two GROUP BY 1)"
+
+
+@query(f"WITH {_FEW} SELECT set_id, replicates, CASE WHEN NOT ok THEN 'Raw read count threshold' ELSE 'No enriched peptides' END AS reason FROM n JOIN u USING (set_id) WHERE NOT ok OR set_id NOT IN (SELECT set_id FROM t WHERE a)")
 def enrich_failures(spark, d):
     m, sets = _two(spark, d)
-    return enrich.failures([(m, [40, 10]), (m, [5])], sets, m, [2000, 100])
+    cut = 0.94 * enrich.raw_sums(m, sets).agg(F.max("col_sum")).first()[0]
+    return enrich.failures([(m, [110, 80])], sets, m, [cut])
 
 
 @query(f"WITH {DENSE}, {SETS}, x AS (SELECT set_id, sample, sum(score) AS col_sum FROM d JOIN sets USING (sample) GROUP BY 1, 2) SELECT * FROM x WHERE col_sum < 0.995 * (SELECT max(col_sum) FROM x WHERE sample LIKE 'AF%')")
@@ -334,7 +338,7 @@ def enrich_set_label(spark, d):
     return sets.select("set_id", enrich.set_label(F.col("x")).alias("label"))
 
 
-@query(f"WITH {DENSE} SELECT a.peptide, (a.score >= 20 OR b.score >= 20) AND a.score >= 5 AND b.score >= 5 AS met FROM d a JOIN d b ON a.peptide = b.peptide WHERE a.sample = 'NO_1' AND b.sample = 'NO_2'")
+@query(f"WITH {DENSE} SELECT a.peptide, (a.score >= 20 OR b.score >= 20) AND a.score >= 5 AND b.score >= 5 AS met FROM (SELECT * FROM d WHERE sample = 'NO_1') a JOIN (SELECT * FROM d WHERE sample = 'NO_2') b ON a.peptide = b.peptide")
 def enrich_pair_threshold(spark, d):
     m = dense(spark, d)
     a, b = (m.where(F.col("sample") == x).select("peptide", F.col("score").alias(n)) for x, n in (("NO_1", "a"), ("NO_2", "b")))
@@ -348,7 +352,7 @@ def stats_summary(spark, d):
     return by.agg(F.sum(x).alias("total"), F.round(sem.geometric_mean(x), 6).alias("geo"), F.median(x).alias("med"), F.round(sem.sample_sd(x), 6).alias("sd"), F.round(F.avg(x), 6).alias("mean"))
 
 
-@query(f"WITH {DENSE} SELECT a.peptide, round(CASE WHEN greatest(abs(a.score), abs(b.score)) = 0 THEN 0 ELSE abs(a.score - b.score) / greatest(abs(a.score), abs(b.score)) END, 6) AS diff, CASE WHEN greatest(abs(a.score), abs(b.score)) = 0 THEN 0 ELSE abs(a.score - b.score) / greatest(abs(a.score), abs(b.score)) END <= 0.25 AS close FROM d a JOIN d b ON a.peptide = b.peptide WHERE a.sample = 'NO_1' AND b.sample = 'NO_2'")
+@query(f"WITH {DENSE} SELECT a.peptide, round(CASE WHEN greatest(abs(a.score), abs(b.score)) = 0 THEN 0 ELSE abs(a.score - b.score) / greatest(abs(a.score), abs(b.score)) END, 6) AS diff, CASE WHEN greatest(abs(a.score), abs(b.score)) = 0 THEN 0 ELSE abs(a.score - b.score) / greatest(abs(a.score), abs(b.score)) END <= 0.25 AS close FROM (SELECT * FROM d WHERE sample = 'NO_1') a JOIN (SELECT * FROM d WHERE sample = 'NO_2') b ON a.peptide = b.peptide")
 def stats_relative_difference(spark, d):
     m = dense(spark, d)
     a, b = (m.where(F.col("sample") == x).select("peptide", F.col("score").alias(n)) for x, n in (("NO_1", "a"), ("NO_2", "b")))
@@ -428,9 +432,9 @@ def demux_diagnostics(spark, d):
     return demux.diagnostics(s.reads(spark, d), codes, s.paired_samples(spark, d), [INDEX, INDEX2], s.library(spark, d), TAG)
 
 
-@query(f"WITH {_ONE} SELECT read_id, seq FROM r WHERE read_id NOT IN (SELECT read_id FROM t)")
+@query(f"WITH {READS}, {s.shift_sql('t', TAG, 'lib')} SELECT read_id, seq FROM r WHERE read_id NOT IN (SELECT read_id FROM t)")
 def demux_unmapped(spark, d):
-    return demux.unmapped(s.reads(spark, d), _tags(spark, d)).select("read_id", "seq")
+    return demux.unmapped(s.reads(spark, d), demux.shifted_match(s.reads(spark, d), s.library(spark, d), TAG)).select("read_id", "seq")
 
 
 @query(f"WITH {_CELLS} SELECT split_part(peptide, '-', 1) AS peptide, sample, CAST(sum(score) AS BIGINT) AS score FROM cells GROUP BY 1, 2")
@@ -598,10 +602,27 @@ def sample_correlations(spark, d):
     return extras.sample_correlations(dense(spark, d)).select("a", "b", r6("r"))
 
 
-@query(f"WITH {DENSE}, p AS (SELECT * FROM d WHERE CAST(peptide AS BIGINT) % 20 = 1), c AS (SELECT x.peptide AS a, y.peptide AS b, corr(x.score, y.score) AS r FROM p x JOIN p y USING (sample) WHERE x.peptide < y.peptide GROUP BY 1, 2) SELECT a, b, round(r, 6) AS r FROM c WHERE abs(r) >= 0.4")
+_PEPS = "p AS (SELECT peptide, sample, {} AS score FROM d WHERE peptide IN (SELECT peptide FROM d GROUP BY 1 HAVING max(score) >= 40)), c AS (SELECT x.peptide AS a, y.peptide AS b, corr(x.score, y.score) AS r FROM p x JOIN p y USING (sample) WHERE x.peptide < y.peptide GROUP BY 1, 2) SELECT a, b, round(r, 6) AS r FROM c WHERE abs(r) >= 0.8"
+
+
+@query(f"WITH {DENSE}, " + _PEPS.format("score"))
 def pep_correlations(spark, d):
-    m = dense(spark, d)
-    return extras.peptide_correlations(m, m.where(F.col("peptide").cast("long") % 20 == 1).select("peptide"), 0.4).select("a", "b", r6("r"))
+    return extras.peptide_correlations(dense(spark, d), 0.8, 40).select("a", "b", r6("r"))
+
+
+@query(f"WITH {DENSE}, " + _PEPS.format("(rank() OVER w + rank() OVER w + count(*) OVER t - 1) / 2.0").replace(" FROM d WHERE peptide IN", " FROM d WHERE peptide IN").replace("HAVING max(score) >= 40)), c", "HAVING max(score) >= 40) WINDOW w AS (PARTITION BY peptide ORDER BY score), t AS (PARTITION BY peptide, score)), c"))
+def pep_correlations_spearman(spark, d):
+    return extras.peptide_correlations(dense(spark, d), 0.8, 40, "spearman").select("a", "b", r6("r"))
+
+
+@query()
+def pep_correlations_kendall(spark, d):
+    return extras.peptide_correlations(dense(spark, d), 0.3, 40, "kendall").select("a", "b", r6("r"))
+
+
+@query(f"WITH {DENSE}, k AS (SELECT peptide, sample, (2 * rank() OVER w + count(*) OVER t - 1) / 2.0 AS score FROM d WINDOW w AS (PARTITION BY sample ORDER BY score), t AS (PARTITION BY sample, score)) SELECT x.sample AS a, y.sample AS b, round(corr(x.score, y.score), 6) AS r FROM k x JOIN k y USING (peptide) WHERE x.sample < y.sample GROUP BY 1, 2")
+def sample_correlations_spearman(spark, d):
+    return extras.sample_correlations(extras.ranked_in_sample(dense(spark, d))).select("a", "b", r6("r"))
 
 
 @query(f"WITH {DENSE}, g AS (SELECT peptide, avg(score) FILTER (sample LIKE 'A%') AS mx, var_samp(score) FILTER (sample LIKE 'A%') AS vx, count(*) FILTER (sample LIKE 'A%') AS nx, avg(score) FILTER (sample LIKE 'R%') AS my, var_samp(score) FILTER (sample LIKE 'R%') AS vy, count(*) FILTER (sample LIKE 'R%') AS ny FROM d GROUP BY 1) SELECT peptide, round((mx - my) / sqrt(vx / nx + vy / ny), 6) AS t, round(power(vx / nx + vy / ny, 2) / (power(vx / nx, 2) / (nx - 1) + power(vy / ny, 2) / (ny - 1)), 6) AS df FROM g WHERE nx > 1 AND ny > 1 AND vx / nx + vy / ny > 0")
@@ -699,7 +720,7 @@ def cluster_pairs(spark, d):
     return extras.kmer_similarity(proteins, 6, 0.2).select("a", "b", "shared", r6("similarity"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SEQS}, {s.kmer_sql('prot', 'name', 6, 'k0')}, k AS (SELECT DISTINCT * FROM k0), n AS (SELECT name, count(*) AS n FROM k GROUP BY 1), c AS (SELECT x.name AS a, y.name AS b, count(*) AS shared FROM k x JOIN k y USING (kmer) WHERE x.name <> y.name GROUP BY 1, 2), e AS (SELECT a, b FROM c JOIN n p ON p.name = a JOIN n q ON q.name = b WHERE shared / least(p.n, q.n) >= 0.2), reach AS (SELECT DISTINCT a AS name, a AS root FROM e UNION SELECT reach.name, e.b FROM reach JOIN e ON e.a = reach.root) SELECT name, min(root) AS root FROM reach GROUP BY 1")
 def cluster_components(spark, d):
     return extras.connected(extras.kmer_similarity(s.sequences(spark, d)[1], 6, 0.2))
 
