@@ -5,28 +5,18 @@ from __future__ import annotations
 import functools
 import math
 import unicodedata
-import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from assayflow.functions.sizes import few  # noqa: F401
+from assayflow.sources.scratch import scratch_path
 
 #: A word, everywhere: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one task sorts at a time where an operator orders rows by hash.
 RUN_ROWS = 8192
-#: Tables of up to so many bytes are broadcast.
-MOST_BROADCAST_BYTES = 32_000_000
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "/tmp/checkpoints/assayflow"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -35,7 +25,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The table outlives lost executors, and later readers see only its columns.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/assayflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -50,25 +40,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def _width(column: Column, kind: T.DataType) -> Column:
-    """About how many bytes a value takes in memory."""
-    if isinstance(kind, T.StringType):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-    if isinstance(kind, T.BinaryType):
-        return F.coalesce(F.length(column), F.lit(0)) + 16
-    if isinstance(kind, T.ArrayType):
-        return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(16).cast("long"), lambda a, x: a + _width(x, kind.elementType))
-    if isinstance(kind, T.StructType):
-        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
-    return F.lit(8)
-
-
-def few(table: DataFrame, most: int = MOST_BROADCAST_BYTES) -> DataFrame:
-    """A stored table, marked for broadcast if its rows take ``most`` bytes of memory at most; else joins with it shuffle."""
-    size = table.agg(F.sum(sum((_width(F.col(f.name), f.dataType) for f in table.schema.fields), F.lit(16).cast("long")))).first()[0]
-    return F.broadcast(table) if (size or 0) <= most else table
-
-
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.transform(F.array(value), use)[0]

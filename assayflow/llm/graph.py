@@ -49,7 +49,7 @@ def linked_roots(
     links = stored(verify(first), "links")
     roots = components(links)
     named = roots.withColumnsRenamed({"id": "__node", "root": "__root"})
-    rooted = stored(crowd.join(named, F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("__root", "id").alias("root"), "n", "hub"), "rooted")
+    rooted = stored(crowd.join(few(named), F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("__root", "id").alias("root"), "n", "hub"), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = apart(rooted.where("id != hub").drop("hub").join(few(stored(mixed, "mixed")), "key"))
     second = stored(left.distinct().join(first, ["a", "b"], "left_anti"), "candidates")

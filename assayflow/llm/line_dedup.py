@@ -26,7 +26,7 @@ SIMILARITY = 0.8
 #: Lines of more characters are aligned word by word.
 LONG_LINE = 2000
 #: Scripts without spaces between words: each character is a word.
-UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 
 
 def line_words(line: Column) -> Column:
@@ -44,22 +44,17 @@ def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
 
 
-def _code(word: Column) -> Column:
-    """A word's hash, its last three bits replaced by the number of its block."""
-    return let(F.xxhash64(word), lambda h: h.bitwiseAND(_long(-8 + (1 << 64))).bitwiseOR(F.pmod(h, F.lit(BLOCKS))))
-
-
-def _votes(codes: Column, width: int) -> Column:
+def _votes(hashes: Column, width: int) -> Column:
     """The bits that more than half of the words have, ``BYTE_BITS`` in each byte of a long.
 
     Bits are counted several at a time, in lanes of ``width`` bits of a long; a lane holds up to 2**(width - 2) - 1 words.
     The bits found don't depend on the width.
     """
     ones = sum(1 << (width * i) for i in range(64 // width))
-    fill = (F.lit((1 << (width - 2)) - 1) - F.shiftright(F.size(codes), 1)).cast("long") * _long(ones)
+    fill = (F.lit((1 << (width - 2)) - 1) - F.shiftright(F.size(hashes), 1)).cast("long") * _long(ones)
     out = _long(0)
     for at in (8 * byte + bit for byte in range(width // 8) for bit in range(BYTE_BITS)):
-        count = F.aggregate(codes, _long(0), lambda a, x: a + F.shiftrightunsigned(x, at + 3).bitwiseAND(_long(ones)))  # noqa: B023
+        count = F.aggregate(hashes, _long(0), lambda a, x: a + F.shiftrightunsigned(x, at).bitwiseAND(_long(ones)))  # noqa: B023
         out = out.bitwiseOR(F.shiftrightunsigned((count + fill).bitwiseAND(_long(ones << (width - 2))), width - 2 - at))
     return out
 
@@ -69,38 +64,43 @@ def simhash(words: Column) -> Column:
 
     A word votes once, however often the line has it: else the commonest word would decide each block of a long line.
     """
-    blocks = let(F.array_distinct(F.transform(words, _code)), lambda codes: F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.filter(codes, lambda c: c.bitwiseAND(_long(7)) == b)))
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    blocks = let(hashes, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.filter(all_, lambda h: F.pmod(h, F.lit(BLOCKS)) == b)))
 
-    def block(codes):
-        n = F.size(codes)
-        votes = F.when(n <= 63, _votes(codes, 8)).when(n <= 16383, _votes(codes, 16)).otherwise(_votes(codes, 32))
+    def block(own):
+        n = F.size(own)
+        votes = F.when(n <= 63, _votes(own, 8)).when(n <= 16383, _votes(own, 16)).otherwise(_votes(own, 32))
         return votes.bitwiseOR((F.least(n, F.lit(63)) * (1 << BYTE_BITS)).cast("long"))
 
     return F.transform(blocks, block)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, id, line, key, chars, words, sim)`` for each line: two hashes of the normal form, its length, its number of words, its SimHash."""
+    """``(doc, id, line, a, b, chars, words, s0, s1, ...)`` for each line: two hashes of the normal form, its length, its number of words, its SimHash's blocks."""
 
     def digest(words):
         return let(F.array_join(words, " "), lambda norm: F.struct(
-            F.struct(F.xxhash64(norm).alias("a"), F.xxhash64(F.lit("line"), norm).alias("b")).alias("key"), F.length(norm).alias("chars"), F.size(words).alias("words"), simhash(words).alias("sim")
+            F.xxhash64(norm).alias("a"), F.xxhash64(F.lit("line"), norm).alias("b"), F.length(norm).alias("chars"), F.size(words).alias("words"), simhash(words).alias("sim")
         ))
 
-    raw = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
-    return raw.select("doc", "id", "line", let(line_words(F.col("raw")), digest).alias("d")).select("doc", "id", "line", "d.*")
+    # hashes of the whole text are made before the lines are: else they would be made for each line
+    whole = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.split(text_col, "\n").alias("raw"))
+    raw = whole.select("doc", "id", F.posexplode("raw").alias("line", "raw"))
+    return raw.select("doc", "id", "line", let(line_words(F.col("raw")), digest).alias("d")).select("doc", "id", "line", "d.a", "d.b", "d.chars", "d.words", *[F.col("d.sim")[i].alias(f"s{i}") for i in range(BLOCKS)])
 
 
-def block_keys(sim: Column, words: Column) -> Column:
-    """An array of 64-bit keys: one for each choice of blocks that hold enough words."""
-    counted = [F.shiftright(sim[b].bitwiseAND(_long(255)), BYTE_BITS) for b in range(BLOCKS)]
+def block_keys(lines: DataFrame) -> DataFrame:
+    """``(key, id)`` of lines ``(row, words, s0, s1, ...)``: a 64-bit key for each choice of blocks that hold enough words.
 
-    def keys(n):
-        least = F.least(F.ceil(words * LEAST_PART[n]), F.lit(ENOUGH))
-        return [F.when(sum((counted[b] for b in some), F.lit(0)) >= least, F.xxhash64(F.lit(n * 100 + i), *[sim[b] for b in some])) for i, some in enumerate(combinations(range(BLOCKS), n))]
-
-    none = F.array().cast("array<long>")
-    return F.array_compact(F.concat(F.when(words <= SHORT, F.array(*keys(SHARED + 1))).otherwise(none), F.when(words >= SHORT, F.array(*keys(SHARED))).otherwise(none)))
+    A choice is a number with a bit for each block. It is a row before its key is made, so that the code for keys stays short enough to be compiled.
+    """
+    choices = {n: F.array(*[F.lit(sum(1 << b for b in some)) for some in combinations(range(BLOCKS), n)]) for n in (SHARED, SHARED + 1)}
+    chosen = F.when(F.col("words") < SHORT, choices[SHARED + 1]).when(F.col("words") > SHORT, choices[SHARED]).otherwise(F.concat(choices[SHARED], choices[SHARED + 1]))
+    each = lines.select(F.col("row").alias("id"), "words", *(f"s{b}" for b in range(BLOCKS)), F.explode(chosen).alias("some"))
+    part = [F.when(F.col("some").bitwiseAND(1 << b) != 0, F.col(f"s{b}")).otherwise(_long(0)) for b in range(BLOCKS)]
+    held = sum((F.shiftright(x.bitwiseAND(_long(255)), BYTE_BITS) for x in part), F.lit(0))
+    least = F.when(F.bit_count("some") == SHARED, F.ceil(F.col("words") * LEAST_PART[SHARED])).otherwise(F.ceil(F.col("words") * LEAST_PART[SHARED + 1]))
+    return each.where(held >= F.least(least, F.lit(ENOUGH))).select(F.xxhash64("some", *part).alias("key"), "id")
 
 
 def as_characters(words: Column) -> Column:
@@ -147,18 +147,18 @@ def edit_similar(x: Column, y: Column, least: float = SIMILARITY) -> Column:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The lines that go: ``(doc, line, keep_id, keep_line)``; ``doc`` is :func:`doc_key`, lines count from 0."""
-    found = stored(lines_of(docs, id_col, text_col), "lines")
-    at = F.struct(F.col("id").isNull().alias("none"), "id", "line", "doc")
-    distinct = found.where("words > 0").groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.any_value("sim").alias("sim"), F.first("words").alias("words"), F.first("chars").alias("chars"))
-    distinct = stored(distinct.withColumn("row", F.monotonically_increasing_id()), "distinct")
-    members = distinct.select(F.explode(block_keys(F.col("sim"), F.col("words"))).alias("key"), F.col("row").alias("id"))
+    found = stored(lines_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "lines")
+    same = [F.max(c).alias(c) for c in ("words", "chars", *(f"s{i}" for i in range(BLOCKS)))]
+    distinct = stored(found.where("words > 0").groupBy("a", "b").agg(F.min("row").alias("row"), F.count("*").alias("n"), *same), "distinct")
+    members = block_keys(distinct)
     chars = distinct.select(F.col("row").alias("id"), "chars")
 
     texts: list[DataFrame] = []
 
     def gather(some: DataFrame) -> None:
         """Texts of the lines that share a key with another: documents by key, then their lines by number."""
-        by_doc = some.join(distinct, some["id"] == distinct["row"]).groupBy("first.doc").agg(F.collect_list(F.struct("row", "first.line")).alias("wanted"))
+        wanted = found.select("doc", "line", "row").join(few(some.withColumnRenamed("id", "row")), "row")
+        by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("row", "line")).alias("wanted"))
         by_doc = stored(by_doc, "wanted")
         here = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.split(text_col, "\n").alias("raw")).join(few(by_doc), "doc")
         lines = here.select("raw", F.explode("wanted").alias("w")).select("w.row", normalised_line(F.element_at("raw", F.col("w.line") + 1)).alias("norm"))
@@ -178,12 +178,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pairs_apart(crowded.join(chars, "id"), lambda one, two: F.abs(one["chars"] - two["chars"]) <= F.floor(F.greatest(one["chars"], two["chars"]) * (1 - least) + 1e-9), ["chars"])
 
     roots = linked_roots(members, verify, gather, apart)
-    classed = distinct.join(roots, distinct["row"] == roots["id"], "left").select("key", "first", "n", F.coalesce("root", "row").alias("root"))
-    classed = stored(classed, "classed")
-    kept = classed.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
-    repeated = stored(classed.join(kept, "root").select("key", "keep"), "repeated")
-    discard(distinct, classed, roots, *texts)
-    gone = found.where("words > 0").select("doc", "line", "key").join(few(repeated), "key").where((F.col("doc") != F.col("keep.doc")) | (F.col("line") != F.col("keep.line")))
+    classed = stored(distinct.join(few(roots), distinct["row"] == roots["id"], "left").select("a", "b", "n", F.coalesce("root", "row").alias("root")), "classed")
+    several = stored(classed.groupBy("root").agg(F.sum("n").alias("n")).where("n > 1").select("root"), "several")
+    repeated = stored(classed.join(few(several), "root", "left_semi").select("a", "b", "root"), "repeated")
+    lines = stored(found.where("words > 0").select("a", "b", "doc", "id", "line").join(few(repeated), ["a", "b"]).select("root", "doc", "id", "line"), "repeated-lines")
+    kept = stored(lines.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "line", "doc")).alias("keep")), "kept")
+    discard(found, distinct, classed, several, repeated, roots, *texts)
+    gone = lines.join(few(kept), "root").where((F.col("doc") != F.col("keep.doc")) | (F.col("line") != F.col("keep.line")))
     return gone.select("doc", "line", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line")).distinct()
 
 
