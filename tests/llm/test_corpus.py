@@ -178,7 +178,8 @@ def test_recall_of_fuzzy_lines(spark):
     got = {x["doc_id"] for x in line_dedup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect() if x["n_dropped"]}
     assert not got - set().union(*want.values())
     for n, ids in want.items():
-        assert len(ids) > 150 and len(got & ids) >= 0.9 * len(ids), (n, len(got & ids), len(ids))
+        assert len(ids) > 150 and len(got & ids) >= (0.9 if n >= 8 else 0.8) * len(ids), (n, len(got & ids), len(ids))
+    assert len(got) >= 0.95 * sum(map(len, want.values()))
 
 
 def test_a_changed_word_touches_two_blocks_at_most(spark):
