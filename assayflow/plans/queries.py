@@ -561,7 +561,7 @@ def deconv_tie_candidates(spark, d):
 
 
 def _by_sample(spark, d):
-    m = s.scores(spark, d).where("score >= 60 and sample like '%\\_1'")
+    m = s.scores(spark, d).where("score >= 60")
     return m.select("sample", "peptide").join(s.links(spark, d), "peptide")
 
 

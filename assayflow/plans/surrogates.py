@@ -54,17 +54,17 @@ def _nt(prefix: str, key: str) -> str:
 
 
 def barcodes(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").where("s_suppkey < 20")
-    return s.select(F.concat(F.lit("F"), F.col("s_suppkey").cast("string")).alias("id"), F.substring(nucleotides("b", F.col("s_suppkey")), 1, 6).alias("key"), F.col("s_suppkey").alias("ord"))
+    k = F.col("n_nationkey")
+    return table(spark, d, "nation").select(F.concat(F.lit("F"), k.cast("string")).alias("id"), F.substring(nucleotides("b", k), 1, 6).alias("key"), k.alias("ord"))
 
 
 def second_barcodes(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").where("s_suppkey < 5")
-    return s.select(F.concat(F.lit("R"), F.col("s_suppkey").cast("string")).alias("id"), F.substring(nucleotides("c", F.col("s_suppkey")), 1, 4).alias("key"), F.col("s_suppkey").alias("ord"))
+    k = F.col("r_regionkey")
+    return table(spark, d, "region").select(F.concat(F.lit("R"), k.cast("string")).alias("id"), F.substring(nucleotides("c", k), 1, 4).alias("key"), k.alias("ord"))
 
 
 def library(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey < 200")
+    p = table(spark, d, "part")
     return p.select(F.concat(F.lit("pep"), F.floor(F.col("p_partkey") / 2).cast("string"), F.lit("-"), (F.col("p_partkey") % 2).cast("string")).alias("name"), F.substring(nucleotides("p", F.col("p_partkey")), 1, 10).alias("key"), F.col("p_partkey").alias("ord"))
 
 
@@ -82,24 +82,24 @@ def paired_samples(spark: SparkSession, d: str) -> DataFrame:
 def reads(spark: SparkSession, d: str) -> DataFrame:
     """A read for each order: two bases, barcode, tag, tail; by order key it is whole, shifted by one either way, or has substitutions."""
     k = F.col("o_orderkey")
-    code, tag, tail = F.substring(nucleotides("b", k % 20), 1, 6), F.substring(nucleotides("p", k * 7 % 200), 1, 10), F.substring(nucleotides("r", k), 1, 12)
+    code, tag, tail = F.substring(nucleotides("b", k % 25), 1, 6), F.substring(nucleotides("p", k * 7 % 200), 1, 10), F.substring(nucleotides("r", k), 1, 12)
     changed = F.concat(F.translate(F.substring(code, 1, 1), "ACGT", "CGTA"), F.substring(code, 2, 5), F.substring(tag, 1, 3), F.translate(F.substring(tag, 4, 1), "ACGT", "GTAC"), F.substring(tag, 5, 6))
     whole = F.concat(code, tag)
     seq = F.when(k % 5 == 2, F.concat(F.lit("G"), whole, tail)).when(k % 5 == 3, F.concat(F.lit("GAT"), whole, tail)).when(k % 5 == 4, F.concat(F.lit("GA"), changed, tail)).otherwise(F.concat(F.lit("GA"), whole, tail))
-    second = F.concat(F.lit("T"), F.substring(nucleotides("c", k % 20 % 5), 1, 4), F.substring(nucleotides("q", k), 1, 5))
+    second = F.concat(F.lit("T"), F.substring(nucleotides("c", k % 25 % 5), 1, 4), F.substring(nucleotides("q", k), 1, 5))
     qual = F.translate(F.md5(F.concat(F.lit("u"), k.cast("string"))), HEX, "!#%')+-/13579;=?")
     return table(spark, d, "orders").select(k.alias("read_id"), seq.alias("seq"), second.alias("seq2"), qual.alias("qual"))
 
 
-READS = f"""bc AS (SELECT 'F' || CAST(s_suppkey AS VARCHAR) AS id, substr({_nt("b", "s_suppkey")}, 1, 6) AS key, s_suppkey AS ord FROM supplier WHERE s_suppkey < 20),
-bc2 AS (SELECT 'R' || CAST(s_suppkey AS VARCHAR) AS id, substr({_nt("c", "s_suppkey")}, 1, 4) AS key, s_suppkey AS ord FROM supplier WHERE s_suppkey < 5),
-lib AS (SELECT 'pep' || CAST(p_partkey // 2 AS VARCHAR) || '-' || CAST(p_partkey % 2 AS VARCHAR) AS name, substr({_nt("p", "p_partkey")}, 1, 10) AS key, p_partkey AS ord FROM part WHERE p_partkey < 200),
+READS = f"""bc AS (SELECT 'F' || CAST(n_nationkey AS VARCHAR) AS id, substr({_nt("b", "n_nationkey")}, 1, 6) AS key, n_nationkey AS ord FROM nation),
+bc2 AS (SELECT 'R' || CAST(r_regionkey AS VARCHAR) AS id, substr({_nt("c", "r_regionkey")}, 1, 4) AS key, r_regionkey AS ord FROM region),
+lib AS (SELECT 'pep' || CAST(p_partkey // 2 AS VARCHAR) || '-' || CAST(p_partkey % 2 AS VARCHAR) AS name, substr({_nt("p", "p_partkey")}, 1, 10) AS key, p_partkey AS ord FROM part),
 smp AS (SELECT ord, 'S' || CAST(ord % 5 AS VARCHAR) || '_' || CAST(ord AS VARCHAR) AS sample, id FROM bc),
-r0 AS (SELECT o_orderkey AS k, substr({_nt("b", "o_orderkey % 20")}, 1, 6) AS code, substr({_nt("p", "o_orderkey * 7 % 200")}, 1, 10) AS tag, substr({_nt("r", "o_orderkey")}, 1, 12) AS tail FROM orders),
+r0 AS (SELECT o_orderkey AS k, substr({_nt("b", "o_orderkey % 25")}, 1, 6) AS code, substr({_nt("p", "o_orderkey * 7 % 200")}, 1, 10) AS tag, substr({_nt("r", "o_orderkey")}, 1, 12) AS tail FROM orders),
 r AS (SELECT k AS read_id, CASE k % 5 WHEN 2 THEN 'G' || code || tag || tail WHEN 3 THEN 'GAT' || code || tag || tail
     WHEN 4 THEN 'GA' || translate(substr(code, 1, 1), 'ACGT', 'CGTA') || substr(code, 2, 5) || substr(tag, 1, 3) || translate(substr(tag, 4, 1), 'ACGT', 'GTAC') || substr(tag, 5, 6) || tail
     ELSE 'GA' || code || tag || tail END AS seq,
-  'T' || substr({_nt("c", "k % 20 % 5")}, 1, 4) || substr({_nt("q", "k")}, 1, 5) AS seq2,
+  'T' || substr({_nt("c", "k % 25 % 5")}, 1, 4) || substr({_nt("q", "k")}, 1, 5) AS seq2,
   translate(md5('u' || CAST(k AS VARCHAR)), '{HEX}', '!#%'')+-/13579;=?') AS qual FROM r0)"""
 
 

@@ -1,4 +1,4 @@
-"""The whole analysis as one lazy plan: counts, normalisation, bins, z-scores, enriched peptides."""
+"""The whole analysis: counts, normalisation, bins, z-scores, enriched peptides."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assayflow.operators import binning, enrich, matrix, normalize
 from assayflow.plans import surrogates
+from assayflow.sources.scratch import stored
 
 
 def analyse(raw: DataFrame, controls: str, bin_size: int = 300, digits: int = 0, z_least: float = 6.0, norm_least: float = 20.0, hdi: float = 0.75, raw_least: float = 0.0) -> dict[str, DataFrame]:
-    """All tables of the standard analysis of a raw count matrix, by name."""
-    full = matrix.densify(raw)
-    col_sum = normalize.by_column_sum(full)
+    """All tables of the standard analysis of a raw count matrix, by name.
+
+    The dense matrix and its normalised form, which most steps read, are stored in the shared folder once; the rest is lazy.
+    """
+    full = stored(matrix.densify(raw), "dense")
+    col_sum = stored(normalize.by_column_sum(full), "col-sum")
     diff = normalize.against_controls(col_sum, "diff", start=controls)
     ratio = normalize.against_controls(col_sum, "diff_ratio", start=controls)
     bins = binning.greedy_bins(col_sum.where(normalize.is_control(col_sum["sample"], start=controls)), bin_size, digits)
