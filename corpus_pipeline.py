@@ -13,27 +13,45 @@ from assayflow.llm.quality import good_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or lie far from all language references go."""
+    """Documents that fail the base rule or lie far from all language references go.
+
+    Null and empty texts go; rows equal in all columns stay or go together; null ids and sources, very long texts and extra
+    columns stay as they are; an empty table gives an empty one.
+    """
     return good_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of equal or similar lines one occurrence stays; documents keep their other lines."""
+    """Of each group of equal or similar lines the first occurrence by id and line stays; documents keep their other lines.
+
+    No row goes: a document whose lines all go has an empty text. Null texts stay null, null ids come last; rows equal in id and text are
+    one document; extra columns stay, whatever their names; an empty table gives an empty one.
+    """
     return without_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays, that of the smallest id (null ids last; of equal rows one).
+
+    Texts without words, null ones too, are one class; texts are compared whole; extra columns stay; an empty table gives an empty one.
+    """
     return without_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are cut or repeated to their targets; a repeated document is that many rows."""
+    """Sources are cut or repeated to their targets; a repeated document is that many rows.
+
+    Null sources are one source, null ids hash as the empty string; texts without words count 0 words; rows equal in id, source and
+    number of words are taken equally often; extra columns stay; an empty table gives an empty one.
+    """
     return mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows and their places in sequences."""
+    """The pieces of all rows and their places in sequences.
+
+    Null and empty texts are one token; only texts over a sequence long are cut; repeated rows are packed each; an empty table gives an empty one.
+    """
     return pack(docs)
 
 
