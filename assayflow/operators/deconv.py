@@ -118,12 +118,15 @@ class Greedy:
             out += [c for n, c in enumerate(cand) if n not in (o, i) and self.enough(self.shared(c, cand[o])) and self.enough(self.shared(c, cand[i]))]
         return out
 
-    def rounds(self):
+    def rounds(self, seen=None):
+        """The rounds' rows; ``seen`` gets (round, species, count, score) of all that are scored in each round."""
         first = self.score()
         original = {s: (len(self.left[s]), x) for s, x in first.items()}
         number, now = 0, first
         while now:
             ranked = sorted(now.items(), key=lambda x: (-x[1], x[0]))
+            if seen is not None:
+                seen.extend((number, s, len(self.left[s]), x) for s, x in ranked)
             if ranked[0][1] <= self.threshold(ranked[0][0]):
                 return
             group = self.group(ranked)
@@ -163,6 +166,19 @@ def assignments(links: DataFrame, thresholds: dict[str, float] | float = 0.0, st
     return links.select("sample", "peptide", "species", "weight").groupBy("sample").applyInPandas(run, "sample string, peptide string, species string")
 
 
+def round_scores(links: DataFrame, thresholds: dict[str, float] | float = 0.0, strategy: str = "summation", tie: float = 0.0, overlap: float = 1.0, score_filter: bool = True) -> DataFrame:
+    """``(sample, round, species, count, score)``: all species that are scored in each round, the last one, which takes none, included."""
+    limits = {"": float(thresholds)} if not isinstance(thresholds, dict) else thresholds
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, seen = Greedy(list(zip(pdf["peptide"], pdf["species"], pdf["weight"])), limits, strategy, tie, overlap, score_filter), []
+        for _ in g.rounds(seen):
+            pass
+        return pd.DataFrame([(pdf["sample"].iloc[0], *r) for r in seen], columns=["sample", "round", "species", "count", "score"])
+
+    return links.select("sample", "peptide", "species", "weight").groupBy("sample").applyInPandas(run, "sample string, round int, species string, count long, score double")
+
+
 def report_lines(report: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """A row for each round: tied species joined by commas, in order of their names (or ids)."""
     r = report if names is None else report.join(names, "species", "left")

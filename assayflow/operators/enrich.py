@@ -51,6 +51,12 @@ def without_low_replicates(raw: DataFrame, sets: DataFrame, constraint: list[flo
     return sums.where(F.col("col_sum") >= min(constraint)).select("set_id", "sample"), sums.where(F.col("col_sum") < min(constraint))
 
 
+def removed_replicates(raw: DataFrame, sets: DataFrame, constraint: list[float]) -> DataFrame:
+    """``(set_id, removed)``: the names of each set's replicates whose raw sum is below the smallest constraint, joined; sets that lose none have no row."""
+    low = without_low_replicates(raw, sets, constraint)[1]
+    return low.groupBy("set_id").agg(F.array_join(F.sort_array(F.collect_set("sample")), ", ").alias("removed"))
+
+
 def enriched(matrices: list[tuple[DataFrame, list[float]]], sets: DataFrame, raw: DataFrame | None = None, constraint: list[float] | None = None) -> DataFrame:
     """``(set_id, peptide)`` that pass in every matrix, of sets that have enough raw reads."""
     if raw is not None and constraint:

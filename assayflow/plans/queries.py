@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.functions import semantics as sem
-from assayflow.operators import binning, deconv, demux, enrich, extras, info, link, matrix, normalize
+from assayflow.operators import binning, clusters, deconv, demux, enrich, extras, info, link, matrix, normalize
 from assayflow.plans import files
 from assayflow.plans import surrogates as s
 from assayflow.plans.surrogates import BINS, DENSE, INDEX, INDEX2, READS, SEQS, SETS, TAG, L, M
@@ -765,6 +765,45 @@ def dilution(spark, d):
     return extras.pooled_volumes(c, 10.0).select("sample", F.round("volume", 9).alias("volume"))
 
 
+# ---- clusters and windows ----
+@query("WITH m AS (SELECT DISTINCT l_suppkey % 25 AS cluster, l_partkey AS sequence FROM lineitem), c AS (SELECT cluster, 'T' || CAST(p_size AS VARCHAR) AS taxon, count(*) AS n FROM m JOIN part ON p_partkey = sequence GROUP BY 1, 2), t AS (SELECT cluster, CAST(sum(n) AS BIGINT) AS n_sequences FROM c GROUP BY 1) SELECT c.cluster, any_value(n_sequences) AS n_sequences, count(*) AS n_taxa, string_agg(taxon, ',' ORDER BY n DESC, taxon) AS taxa, string_agg(printf('%.3f', floor(n / n_sequences * 1000 + 0.5) / 1000), ',' ORDER BY n DESC, taxon) AS shares FROM c JOIN t USING (cluster) GROUP BY 1")
+def cluster_taxon_summary(spark, d):
+    members = s.table(spark, d, "lineitem").select((F.col("l_suppkey") % 25).alias("cluster"), F.col("l_partkey").alias("sequence"))
+    return clusters.taxon_summary(members, s.table(spark, d, "part").select(F.col("p_partkey").alias("sequence"), F.concat(F.lit("T"), F.col("p_size").cast("string")).alias("taxon")))
+
+
+@query("WITH c AS (SELECT l_partkey AS cluster, count(DISTINCT l_linenumber) AS n_proteins FROM lineitem GROUP BY 1) SELECT n_proteins, count(*) AS n_clusters, round(count(*) / (SELECT count(*) FROM c), 6) AS share FROM c GROUP BY 1")
+def cluster_protein_shares(spark, d):
+    members = s.table(spark, d, "lineitem").select(F.col("l_partkey").alias("cluster"), F.col("l_linenumber").alias("protein"))
+    return clusters.protein_shares(members).select("n_proteins", "n_clusters", r6("share"))
+
+
+@query(f"WITH {SEQS}, x AS (SELECT peptide AS name, translate(seq, 'X', '-') AS seq FROM pep), y AS (SELECT name, i AS col FROM x, range(1, 21) t(i) WHERE substr(seq, CAST(i AS BIGINT), 1) <> '-'), z AS (SELECT name, col, row_number() OVER (PARTITION BY name ORDER BY col) AS at FROM y) SELECT a.name, CAST(a.col AS INTEGER) AS start, CAST(b.col AS INTEGER) AS stop, 'site' AS label FROM z a JOIN z b USING (name) WHERE a.at = 3 AND b.at = 9")
+def annotations_on_alignment(spark, d):
+    p = s.sequences(spark, d)[0]
+    aligned = p.select(F.col("peptide").alias("name"), F.translate("seq", "X", "-").alias("seq"))
+    return clusters.on_alignment(aligned.select("name", F.lit(3).alias("start"), F.lit(9).alias("stop"), F.lit("site").alias("label")), aligned)
+
+
+@query("WITH p AS (SELECT DISTINCT l_suppkey AS probe, l_linenumber * 4 + l_partkey % 4 AS position FROM lineitem), e AS (SELECT min(position) AS low, max(position) AS high FROM p), w AS (SELECT low + i * 3 AS start FROM e, range(0, 1000) t(i) WHERE low + i * 3 + 8 - 1 <= high), h AS (SELECT start, probe FROM w JOIN p ON position BETWEEN start AND start + 7 GROUP BY 1, 2 HAVING count(*) >= 0.75 * 8) SELECT start, s_nationkey AS taxon, greatest(max(s_acctbal), 0.0) AS score FROM h JOIN supplier ON s_suppkey = probe GROUP BY 1, 2")
+def taxon_windows(spark, d):
+    x = s.table(spark, d, "lineitem")
+    places = x.select(F.col("l_suppkey").alias("probe"), (F.col("l_linenumber") * 4 + F.col("l_partkey") % 4).alias("position"))
+    return clusters.taxon_windows(places, s.table(spark, d, "supplier").select(F.col("s_suppkey").alias("probe"), F.col("s_nationkey").alias("taxon"), F.col("s_acctbal").alias("score")), 8, 3, 0.75)
+
+
+@query(f"WITH {DENSE}, {SETS}, x AS (SELECT set_id, sample, sum(score) AS col_sum FROM d JOIN sets USING (sample) GROUP BY 1, 2) SELECT set_id, string_agg(sample, ', ' ORDER BY sample) AS removed FROM x WHERE col_sum < 0.9 * (SELECT max(col_sum) FROM x) GROUP BY 1")
+def enrich_removed_replicates(spark, d):
+    m = dense(spark, d)
+    sets = enrich.replicate_sets(m)
+    return enrich.removed_replicates(m, sets, [0.9 * enrich.raw_sums(m, sets).agg(F.max("col_sum")).first()[0]])
+
+
+@query()
+def deconv_round_scores(spark, d):
+    return deconv.round_scores(_by_sample(spark, d), 2.0, "summation", 0.9, 0.5)
+
+
 # ---- workflow ----
 @query()
 def full_pipeline(spark, d):
