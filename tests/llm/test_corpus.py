@@ -408,8 +408,8 @@ def test_texts_without_common_words_are_rejected():
     for _ in range(20):
         soup = text(300, 0)
         near, common = to.distances(soup)
-        assert near <= quality.MOST_CLASS_DISTANCE and common <= quality.MOST_WORD_DISTANCE and not to.verdict(soup)[-1]
-        assert to.verdict(text(300, 0.45))[-1] and to.verdict(text(300, 0.25))[-1] and to.verdict(text(70, 0))[-1]  # clean, rare topic, too short to tell
+        assert near <= quality.MOST_CLASS_DISTANCE and common <= quality.MOST_WORD_DISTANCE and not to.verdict(soup)[6]
+        assert to.verdict(text(300, 0.45))[6] and to.verdict(text(300, 0.25))[6] and to.verdict(text(70, 0))[6]  # clean, rare topic, too short to tell
 
 
 # ---- languages ----
@@ -429,6 +429,28 @@ def test_language_held_out_accuracy(spark, odd, none):
     assert langid.predict(odd, *langid.train(none)).where("lang_pred <> 'und'").count() == 0
 
 
+@pytest.mark.parametrize("text, letters", [("😀😃", False), ("\u0301\u0302", False), ("𝟘𝟙𝟚", False), ("12 ...", False), ("𐌰𐌱𐌲", True), ("𝒜", True), ("é", True), ("中", True), ("😀a", True)])
+def test_letters_of_all_planes(text, letters):
+    table = np.random.default_rng(1).random((1 << langid.BUCKET_BITS, 3))
+    assert langid.scores([text], table)[1].tolist() == [letters]
+
+
+def test_long_texts_count_each_ngram_once(monkeypatch):
+    table = np.random.default_rng(1).random((1 << langid.BUCKET_BITS, 3))
+    texts = ["x y " * 500, None, "", "été " * 300]
+    whole = langid.scores(texts, table)[0]
+    monkeypatch.setattr(langid, "CHUNK", 64)
+    assert np.allclose(whole, langid.scores(texts, table)[0])
+    points = langid.code_points(texts[0])[0]
+    assert sum(len(langid.features(points, a, a + 7)) for a in range(0, len(points), 7)) == sum(len(points) - n + 1 for n in langid.ORDERS)
+
+
+def test_character_classes_of_all_planes():
+    at = dict(zip(quality.CLASSES, range(len(quality.CLASSES))))
+    got = quality.char_classes("a\n\t😀\U00010330\U0001d7d8\u0301 \U000e0001")
+    assert got[at["Ll"]] == 1 and got[at["S"]] == 1 and got[at["L"]] == 1 and got[at["N"]] == 1 and got[at["M"]] == 1 and got[at["Z"]] == 1 and got[at["C"]] == 1 and got.sum() == 7
+
+
 # ---- packing ----
 def check_packing(rows, most):
     by = defaultdict(list)
@@ -643,17 +665,30 @@ def test_warc_derivatives_of_odd_rows(spark, none):
 
 
 # ---- pipeline ----
-def test_pipeline(spark):
+def through_stages(spark, documents):
     import corpus_pipeline
 
-    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
         docs = common.stored(stage(spark, docs, ""), f"test-{name}")
-        assert docs.columns == documents.columns and 0 < docs.count()
+        assert docs.columns == documents.columns
         if name != "mix_sources":
             assert docs.count() <= before.count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     check_packing(pieces, packing.LENGTH)
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    return docs
+
+
+def test_pipeline(spark):
+    assert through_stages(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)).count() > 0
+
+
+def test_pipeline_of_odd_rows(spark, odd):
+    left = {r["doc_id"] for r in through_stages(spark, odd.withColumns({"root": F.lit("x"), "words": F.lit(1), "a": F.lit(None).cast("string")})).collect()}
+    assert left and left <= {1, 2, 3, 7, 9, 10, None}
+
+
+def test_pipeline_of_an_empty_table(spark, none):
+    assert through_stages(spark, none).count() == 0
