@@ -19,14 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 RUN_ROWS = 8192
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared checkpoint folder and read again: lineage ends there.
 
-    The table outlives lost executors, and later readers see only its columns.
+    The table outlives lost executors, and later readers see only its columns. ``hashes``: most columns hold hashes, of which no dictionary is tried.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -57,8 +57,15 @@ def linked_roots(
     discard(buckets, crowd, first, some, links, rooted, second)
     if more.isEmpty():
         return roots
-    both = components(more.union(roots.select(F.col("root").alias("a"), F.col("id").alias("b"))))
-    discard(more, roots)
+    # the few links that came later join whole groups: only their roots are looked at
+    root = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+    ends = few(more).join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = components(ends)
+    later = few(joined.withColumnsRenamed({"id": "__old", "root": "__new"}))
+    moved = roots.join(later, F.col("root") == F.col("__old"), "left").select("id", F.coalesce("__new", "root").alias("root"))
+    alone = joined.join(roots.select("id"), "id", "left_anti")
+    both = stored(moved.union(alone.select("id", "root")), "roots")
+    discard(more, roots, joined)
     return both
 
 

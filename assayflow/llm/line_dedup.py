@@ -23,8 +23,8 @@ SHARED, SHORT = 2, 12
 LEAST_PART, ENOUGH = {2: 0.2, 3: 0.3}, 12
 #: Least edit similarity.
 SIMILARITY = 0.8
-#: Lines of more characters are aligned word by word.
-LONG_LINE = 2000
+#: Up to so many characters, lines are aligned as they are; what differs between equal words at the ends is aligned word by word beyond.
+SHORT_LINE, LONG_LINE = 150, 2000
 #: Scripts without spaces between words: each character is a word.
 UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 
@@ -32,8 +32,8 @@ UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF
 def line_words(line: Column) -> Column:
     """The runs of letters, marks and digits, in lower case: what counts of a line. Punctuation and spacing don't."""
     low = F.lower(line)
-    spaced = F.when(F.octet_length(line) == F.length(line), low).otherwise(F.regexp_replace(low, UNSPACED, " $1 "))
-    return F.array_remove(F.split(spaced, r"[^\p{L}\p{M}\p{N}]+"), "")
+    plain, other = F.split(low, "[^a-z0-9]+"), F.split(F.regexp_replace(low, UNSPACED, " $1 "), r"[^\p{L}\p{M}\p{N}]+")
+    return F.array_remove(F.when(F.octet_length(line) == F.length(line), plain).otherwise(other), "")
 
 
 def normalised_line(line: Column) -> Column:
@@ -142,14 +142,16 @@ def edit_similar(x: Column, y: Column, least: float = SIMILARITY) -> Column:
 
         return F.when(F.abs(F.length(x) - F.length(y)) > most, F.lit(False)).otherwise(let(middle(v), aligned))
 
-    return let(F.struct(F.split(x, " ").alias("x"), F.split(y, " ").alias("y")), whole)
+    longer = F.greatest(F.length(x), F.length(y))
+    by_words = let(F.struct(F.split(x, " ").alias("x"), F.split(y, " ").alias("y")), whole)
+    return F.when(longer <= SHORT_LINE, near(x, y, F.floor(longer * (1 - least) + 1e-9).cast("int"))).otherwise(by_words)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The lines that go: ``(doc, line, keep_id, keep_line)``; ``doc`` is :func:`doc_key`, lines count from 0."""
-    found = stored(lines_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "lines")
+    found = stored(lines_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "lines", hashes=True)
     same = [F.max(c).alias(c) for c in ("words", "chars", *(f"s{i}" for i in range(BLOCKS)))]
-    distinct = stored(found.where("words > 0").groupBy("a", "b").agg(F.min("row").alias("row"), F.count("*").alias("n"), *same), "distinct")
+    distinct = stored(found.where("words > 0").groupBy("a", "b").agg(F.min("row").alias("row"), F.count("*").alias("n"), *same), "distinct", hashes=True)
     members = block_keys(distinct)
     chars = distinct.select(F.col("row").alias("id"), "chars")
 
@@ -160,8 +162,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = found.select("doc", "line", "row").join(few(some.withColumnRenamed("id", "row")), "row")
         by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("row", "line")).alias("wanted"))
         by_doc = stored(by_doc, "wanted")
-        here = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.split(text_col, "\n").alias("raw")).join(few(by_doc), "doc")
-        lines = here.select("raw", F.explode("wanted").alias("w")).select("w.row", normalised_line(F.element_at("raw", F.col("w.line") + 1)).alias("norm"))
+        here = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).join(few(by_doc), "doc")
+        lines = here.select(F.split("text", "\n").alias("raw"), "wanted").select("raw", F.explode("wanted").alias("w")).select("w.row", normalised_line(F.element_at("raw", F.col("w.line") + 1)).alias("norm"))
         got = stored(lines, "line-texts")
         if got.count() > some.count():  # rows equal in id and text
             got = stored(got.dropDuplicates(["row"]), "line-texts")
@@ -201,7 +203,7 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     gone = repeated_lines(docs, id_col, text_col)
     gone = gone.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "keep_id"))).alias("gone"))
-    each = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("doc"), F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long").alias("n_lines"))
+    each = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("doc"), F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
     return each.join(gone, "doc", "left").select(
         F.col("id").alias(id_col), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
