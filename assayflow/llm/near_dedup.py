@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the smallest id of the documents that verified links connect to this one (its own if
     none); ``kept`` marks one row of each class, that of the smallest id. Documents with equal words, ignoring
     case, are one node from the start; so are documents without words. Nodes whose sketches agree in
-    a band are candidates, buckets are linked by :func:`graph.linked_pairs`, and a link holds if the
+    a band are candidates, buckets are linked by :func:`graph.linked_roots`, and a link holds if the
     word edit similarity is at least ``least``. All pairs of a bucket, however crowded, are
     compared unless links connect them already or their words' counts rule them out. Null ids come last; null texts count as empty; an
     empty table gives an empty result; other columns are not read.
