@@ -64,8 +64,8 @@ def second_barcodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def library(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    return p.select(F.concat(F.lit("pep"), F.floor(F.col("p_partkey") / 2).cast("string"), F.lit("-"), (F.col("p_partkey") % 2).cast("string")).alias("name"), F.substring(nucleotides("p", F.col("p_partkey")), 1, 10).alias("key"), F.col("p_partkey").alias("ord"))
+    p = table(spark, d, "supplier")
+    return p.select(F.concat(F.lit("pep"), F.floor(F.col("s_suppkey") / 2).cast("string"), F.lit("-"), (F.col("s_suppkey") % 2).cast("string")).alias("name"), F.substring(nucleotides("p", F.col("s_suppkey")), 1, 10).alias("key"), F.col("s_suppkey").alias("ord"))
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,7 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 READS = f"""bc AS (SELECT 'F' || CAST(n_nationkey AS VARCHAR) AS id, substr({_nt("b", "n_nationkey")}, 1, 6) AS key, n_nationkey AS ord FROM nation),
 bc2 AS (SELECT 'R' || CAST(r_regionkey AS VARCHAR) AS id, substr({_nt("c", "r_regionkey")}, 1, 4) AS key, r_regionkey AS ord FROM region),
-lib AS (SELECT 'pep' || CAST(p_partkey // 2 AS VARCHAR) || '-' || CAST(p_partkey % 2 AS VARCHAR) AS name, substr({_nt("p", "p_partkey")}, 1, 10) AS key, p_partkey AS ord FROM part),
+lib AS (SELECT 'pep' || CAST(s_suppkey // 2 AS VARCHAR) || '-' || CAST(s_suppkey % 2 AS VARCHAR) AS name, substr({_nt("p", "s_suppkey")}, 1, 10) AS key, s_suppkey AS ord FROM supplier),
 smp AS (SELECT ord, 'S' || CAST(ord % 5 AS VARCHAR) || '_' || CAST(ord AS VARCHAR) AS sample, id FROM bc),
 r0 AS (SELECT o_orderkey AS k, substr({_nt("b", "o_orderkey % 25")}, 1, 6) AS code, substr({_nt("p", "o_orderkey * 7 % 200")}, 1, 10) AS tag, substr({_nt("r", "o_orderkey")}, 1, 12) AS tail FROM orders),
 r AS (SELECT k AS read_id, CASE k % 5 WHEN 2 THEN 'G' || code || tag || tail WHEN 3 THEN 'GAT' || code || tag || tail
