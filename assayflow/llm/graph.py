@@ -27,7 +27,8 @@ def pairs_apart(crowded: DataFrame, holds: Callable[[Callable, Callable], Column
 
 
 def linked_roots(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], gather: Callable[[DataFrame], None] = lambda ids: None, apart: Callable[[DataFrame], DataFrame] = pairs_apart
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], gather: Callable[[DataFrame], None] = lambda ids: None,
+    apart: Callable[[DataFrame, int | None], DataFrame] = lambda crowded, most: pairs_apart(crowded), rounds: Sequence[int | None] = (None,),
 ) -> DataFrame:
     """``(id, root)`` of :func:`components` over the links that connect all similar members of the same bucket (stored).
 
@@ -35,8 +36,9 @@ def linked_roots(
     largest id are shuffled, after partial sums. First each member is compared with its bucket's hub, the smallest id: a bucket of
     copies takes as many candidates as it has members. Similarity isn't transitive, so then all other pairs of a bucket that the links so far
     don't connect are candidates: ``apart`` finds them among ``(key, id, root, n)``, and may leave out pairs that can't hold.
-    So no link between members of different classes is lost, however crowded the bucket. ``gather`` gets the ids that have company in a bucket
-    before ``verify`` gets distinct pairs and returns those that hold.
+    So no link between members of different classes is lost, however crowded the bucket. ``rounds`` are numbers of pairs that ``apart`` gives
+    of a member at most, None (all) in the end: links found among some of a member's pairs spare the rest, and while a member has more (``cut``) the
+    next round follows. ``gather`` gets the ids that have company in a bucket before ``verify`` gets distinct pairs and returns those that hold.
     """
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("top")).where("n > 1")
     buckets = stored(buckets, "buckets")
@@ -48,16 +50,34 @@ def linked_roots(
     gather(some)
     links = stored(verify(first), "links")
     roots = components(links)
-    named = roots.withColumnsRenamed({"id": "__node", "root": "__root"})
-    rooted = stored(crowd.join(few(named), F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("__root", "id").alias("root"), "n", "hub"), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = apart(rooted.where("id != hub").drop("hub").join(few(stored(mixed, "mixed")), "key"))
-    second = stored(left.distinct().join(first, ["a", "b"], "left_anti"), "candidates")
-    more = stored(verify(second), "links")
-    discard(buckets, crowd, first, some, links, rooted, second)
-    if more.isEmpty():
-        return roots
-    # the few links that came later join whole groups: only their roots are looked at
+    discard(buckets, some, links)
+    tried, done = first, [crowd, first]
+    for most in rounds:
+        named = roots.withColumnsRenamed({"id": "__node", "root": "__root"})
+        rooted = stored(crowd.join(few(named), F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("__root", "id").alias("root"), "n", "hub"), "rooted")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        left = apart(rooted.where("id != hub").drop("hub").join(few(stored(mixed, "mixed")), "key"), most)
+        cut = False
+        if most is not None:
+            left = stored(left, "pairs")
+            cut = not left.where("cut").isEmpty()
+            done.append(left)
+            left = left.select("a", "b")
+        second = stored(left.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+        more = stored(verify(second), "links")
+        done += [rooted, second]
+        if not more.isEmpty():
+            roots = followed(roots, more)
+        discard(more)
+        if not cut:
+            break
+        tried = tried.union(second)
+    discard(*done)
+    return roots
+
+
+def followed(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` after the few links of ``more``, which came later and join whole groups: only their roots are looked at."""
     root = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
     ends = few(more).join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     joined = components(ends)
@@ -65,7 +85,7 @@ def linked_roots(
     moved = roots.join(later, F.col("root") == F.col("__old"), "left").select("id", F.coalesce("__new", "root").alias("root"))
     alone = joined.join(roots.select("id"), "id", "left_anti")
     both = stored(moved.union(alone.select("id", "root")), "roots")
-    discard(more, roots, joined)
+    discard(roots, joined)
     return both
 
 

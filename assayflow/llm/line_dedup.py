@@ -175,7 +175,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = pairs.join(one, "b").join(two, "a")
         return both.where(edit_similar(F.col("x"), F.col("y"), least)).select("a", "b")
 
-    def apart(crowded: DataFrame) -> DataFrame:
+    def apart(crowded: DataFrame, most: int | None) -> DataFrame:
         """Pairs of still separate lines whose lengths allow them to be similar."""
         return pairs_apart(crowded.join(chars, "id"), lambda one, two: F.abs(one["chars"] - two["chars"]) <= F.floor(F.greatest(one["chars"], two["chars"]) * (1 - least) + 1e-9), ["chars"])
 

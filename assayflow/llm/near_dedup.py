@@ -16,8 +16,10 @@ from assayflow.llm.graph import BLOCK, linked_roots
 
 #: Words of a shingle; least similarity; minima kept in order for each hash; hashes of a band; bands.
 SHINGLE, SIMILARITY, ORDERED, ROWS, BANDS = 5, 0.8, 2, 2, 16
-#: Places of a text's counts of words by hash, which rule out pairs of a crowded bucket.
-BINS = 256
+#: Places of a text's counts of words by hash, which rule out pairs of a crowded bucket; places of their sums, which are looked at first.
+BINS, SUMS = 2048, 256
+#: Pairs of a member in a crowded bucket that are compared before links are followed again; all in the last round.
+ROUNDS = (8, 64, None)
 #: Shingles hashed at a time.
 CHUNK = 1 << 15
 
@@ -196,17 +198,30 @@ def bag(words: np.ndarray) -> bytes:
     return np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def may_be_similar(bags: np.ndarray, lengths: np.ndarray, one: np.ndarray, n: int, least: float = SIMILARITY) -> np.ndarray:
-    """Which texts, by their bags and numbers of words, can be similar to one text; never false for a similar pair.
+def least_edits(bags: np.ndarray, lengths: np.ndarray, one: np.ndarray, n: int) -> np.ndarray:
+    """At least so many edits lie between texts, by their bags and numbers of words, and one text.
 
-    An edit changes the lengths' difference by one at most, and the sum of the bags' differences by two.
+    An edit takes a word from one text's surplus at most, and one from the other's; the larger surplus is half the sum of the
+    bags' differences and the lengths' difference.
     """
-    most = ((1 - least) * np.maximum(lengths, n) + 1e-9).astype(np.int64)
-    return (np.abs(lengths - n) <= most) & (np.abs(bags - one).sum(axis=1, dtype=np.int64) <= 2 * most)
+    return (np.abs(bags - one).sum(axis=1, dtype=np.int64) + np.abs(lengths - n) + 1) // 2
+
+
+def most_edits(lengths: np.ndarray, n: int, least: float = SIMILARITY) -> np.ndarray:
+    return ((1 - least) * np.maximum(lengths, n) + 1e-9).astype(np.int64)
+
+
+def may_be_similar(bags: np.ndarray, lengths: np.ndarray, one: np.ndarray, n: int, least: float = SIMILARITY) -> np.ndarray:
+    """Which texts, by their bags and numbers of words, can be similar to one text; never false for a similar pair."""
+    return least_edits(bags, lengths, one, n) <= most_edits(lengths, n, least)
 
 
-def near_bags(crowded: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs of :func:`graph.pairs_apart` without those that the words' counts rule out; a task compares two blocks."""
+def near_bags(crowded: DataFrame, texts: DataFrame, least: float = SIMILARITY, most: int | None = None) -> DataFrame:
+    """The pairs of :func:`graph.pairs_apart` without those that the words' counts rule out; a task compares two blocks.
+
+    ``most``: only so many pairs of a member in a bucket (one for each block at least), those of the least edits by their counts,
+    and a column ``cut``: whether it has more.
+    """
 
     def bags_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,16 +230,30 @@ def near_bags(crowded: DataFrame, texts: DataFrame, least: float = SIMILARITY) -
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         first, second = (group[group["own"] == group[x].iloc[0]] for x in "ij")
+        within = group["i"].iloc[0] == group["j"].iloc[0]
+        each = None if most is None else max(1, most // int(group["blocks"].iloc[0]))
         ids, roots, lengths = (second[c].to_numpy(np.int64) for c in ("id", "root", "words"))
-        bags, out = np.frombuffer(b"".join(second["bag"]), np.uint8).reshape(-1, BINS).astype(np.int16), [np.zeros((0, 2), np.int64)]
-        for id_, root, one, n in zip(first["id"], first["root"], first["bag"], first["words"]):
+        unpacked = lambda rows: np.frombuffer(b"".join(rows), np.uint8).reshape(-1, BINS).astype(np.int16)
+        summed = lambda bags: bags.reshape(-1, BINS // SUMS, SUMS).sum(axis=1, dtype=np.int16)
+        bags, own = unpacked(second["bag"]), unpacked(first["bag"])
+        sums, own_sums = summed(bags), summed(own)
+        out, cut = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
+        for k, (id_, root, n) in enumerate(zip(first["id"], first["root"], first["words"])):
             other = roots != root
-            if group["i"].iloc[0] == group["j"].iloc[0]:
+            if within and each is None:
                 other &= ids > id_
             at = np.flatnonzero(other)
-            at = at[may_be_similar(bags[at], lengths[at], np.frombuffer(one, np.uint8).astype(np.int16), n, least)]
+            at = at[may_be_similar(sums[at], lengths[at], own_sums[k], n, least)]
+            edits = least_edits(bags[at], lengths[at], own[k], n)
+            may = edits <= most_edits(lengths[at], n, least)
+            at, edits = at[may], edits[may]
+            more = each is not None and len(at) > each
+            if more:
+                at = at[np.argsort(edits, kind="stable")[:each]]
             out.append(np.stack((np.minimum(ids[at], id_), np.maximum(ids[at], id_)), axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+            cut.append(np.full(len(at), more))
+        pairs = pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        return pairs if most is None else pairs.assign(cut=np.concatenate(cut))
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Runs of rows of the same key and blocks, which may go on in the next batch."""
@@ -240,11 +269,11 @@ def near_bags(crowded: DataFrame, texts: DataFrame, least: float = SIMILARITY) -
 
     some = stored(crowded.select(F.col("id").alias("node")).distinct(), "crowded")
     bags = stored(texts.join(few(some), "node", "left_semi").mapInPandas(bags_of, "node long, bag binary, words long"), "bags")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = crowded.withColumns({"own": F.pmod(F.xxhash64("id"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
+    dealt = crowded.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    dealt = dealt.withColumns({"own": F.pmod(F.xxhash64("id"), "blocks"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "blocks")
     dealt = dealt.join(bags.withColumnRenamed("node", "id"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInPandas(groups, "a long, b long")
+    return dealt.mapInPandas(groups, "a long, b long" if most is None else "a long, b long, cut boolean")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -270,7 +299,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts.append(got)
         discard(wanted)
 
-    roots = linked_roots(members, lambda pairs: verified(pairs, texts[0], least), gather, lambda crowded: near_bags(crowded, texts[0], least))
+    roots = linked_roots(members, lambda pairs: verified(pairs, texts[0], least), gather, lambda crowded, most: near_bags(crowded, texts[0], least, most), ROUNDS)
     rooted = stored(nodes.join(roots, nodes["node"] == roots["id"], "left").select("same", "first", "n", F.coalesce("root", "node").alias("root")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
     named = stored(rooted.join(groups, "root").select("same", F.col("best.id").alias("class_id"), "class_size", F.col("best.row").alias("best_row")), "named")

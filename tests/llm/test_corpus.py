@@ -321,6 +321,40 @@ def test_near_copies_that_meet_in_one_crowded_bucket_only(spark):
     assert {(2 * i, 2 * i + 1) for i in range(20)} <= got and len(got) < 40 * 39 / 2 and all(a < b for a, b in got)
 
 
+def test_pairs_of_a_crowded_bucket_do_not_grow_with_its_square(spark):
+    base, r, n = words(150, 77, 10**6), random.Random(7), 120
+    copies = [[w if r.random() > 0.03 else f"new{r.randrange(10**6)}" for w in base] for _ in range(n)]
+    other = [base[:60] + words(90, 900 + i, 10**6) for i in range(20)]  # share a passage only
+    texts = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([words(150, 78, 10**6), *copies, *other])], "node long, text string")
+    members = texts.select(F.lit(5).cast("long").alias("key"), F.col("node").alias("id"))
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return near_dedup.verified(pairs, texts)
+
+    found = graph.linked_roots(members, verify, apart=lambda crowded, most: near_dedup.near_bags(crowded, texts, most=most), rounds=near_dedup.ROUNDS)
+    assert {r["id"]: r["root"] for r in found.collect()} == dict.fromkeys(range(1, n + 1), 1)
+    assert sum(seen) < 12 * n < n * (n - 1) / 4
+
+
+def test_rounds_end_with_all_pairs(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(words(40, 40, 10**6)[: r.randrange(36, 41)] + words(9, i % 6, 10**6))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    members = texts.select(F.lit(5).cast("long").alias("key"), F.col("node").alias("id"))
+    verify = lambda pairs: near_dedup.verified(pairs, texts, 0.85)
+    whole = graph.linked_roots(members, verify)
+    some = graph.linked_roots(members, verify, apart=lambda crowded, most: near_dedup.near_bags(crowded, texts, 0.85, most), rounds=(1, 2, None))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, some.collect()))
+
+
+def test_words_in_few_places_rule_out_pairs_of_long_texts(spark):
+    texts = [" ".join(["is", "onhe"] * 100 + words(2000, 300 + i, 10**6)) for i in range(30)]
+    rows = spark.createDataFrame([(15, i, i, 30) for i in range(30)], "key long, id long, root long, n long")
+    assert near_dedup.near_bags(rows, spark.createDataFrame(list(enumerate(texts)), "node long, text string")).count() == 0
+
+
 def near_rows():
     rows, r = [], random.Random(4)
     for g in range(12):
