@@ -25,14 +25,14 @@ LEAST_PART, ENOUGH = {2: 0.2, 3: 0.3}, 12
 SIMILARITY = 0.8
 #: Up to so many characters, lines are aligned as they are; what differs between equal words at the ends is aligned word by word beyond.
 SHORT_LINE, LONG_LINE = 150, 2000
-#: Scripts without spaces between words: each character is a word.
-UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
+#: Scripts without spaces between words: each character is a word. One range holds all of them, so most characters are ruled out by one comparison.
+UNSPACED = r"([\u0E00-\x{3FFFF}&&[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]])"
 
 
 def line_words(line: Column) -> Column:
     """The runs of letters, marks and digits, in lower case: what counts of a line. Punctuation and spacing don't."""
-    low = F.lower(line)
-    plain, other = F.split(low, "[^a-z0-9]+"), F.split(F.regexp_replace(low, UNSPACED, " $1 "), r"[^\p{L}\p{M}\p{N}]+")
+    low, same = F.lower(line), F.lit(None).cast("string")
+    plain, other = F.split(F.mask(low, same, same, same, F.lit(" ")), " "), F.split(F.regexp_replace(low, UNSPACED, " $1 "), r"[^\p{L}\p{M}\p{N}]+")
     return F.array_remove(F.when(F.octet_length(line) == F.length(line), plain).otherwise(other), "")
 
 
@@ -59,34 +59,60 @@ def _votes(hashes: Column, width: int) -> Column:
     return out
 
 
+def _few_votes(hashes: Column) -> Column:
+    """:func:`_votes` of up to 15 words, all bits counted at once in lanes of 4 bits. Counting starts at the least long, so no sum overflows."""
+    ones, every, sign = sum(1 << (8 * i) for i in range(8)), sum(1 << (4 * i) for i in range(16)), _long(1 << 63)
+    fill = (F.lit(7) - F.shiftright(F.size(hashes), 1)).cast("long") * _long(every)
+    both = lambda x: x.bitwiseAND(_long(ones)).bitwiseOR(F.shiftleft(x, 3).bitwiseAND(_long(ones << 4)))
+    count = F.aggregate(hashes, sign + fill, lambda a, x: a + both(x)).bitwiseXOR(sign)
+    return let(count, lambda c: F.shiftrightunsigned(c, 3).bitwiseAND(_long(ones)).bitwiseOR(F.shiftrightunsigned(c, 6).bitwiseAND(_long(ones << 1))))
+
+
+def word_codes(words: Column) -> Column:
+    """For each word 60 bits of its hash, which hold all that vote, below the number of its block."""
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(_long((1 << 60) - 1)).bitwiseOR(F.shiftleft(F.pmod(F.xxhash64(w), _long(BLOCKS)), 60)))
+
+
+def ordered_codes(codes: Column) -> Column:
+    """Each code once, in order, so those of a block stand together, after the block's mark; a mark ends the last block."""
+    return F.sort_array(F.concat(F.array_distinct(codes), F.array(*[_long(b << 60) for b in range(BLOCKS + 1)])))
+
+
+def block_codes(ordered: Column) -> list[Column]:
+    """The codes of each block."""
+    at = [F.array_position(ordered, _long(b << 60)).cast("int") for b in range(BLOCKS)] + [F.size(ordered)]
+    return [F.slice(ordered, at[b] + 1, at[b + 1] - at[b] - 1) for b in range(BLOCKS)]
+
+
+def block_bits(own: Column) -> Column:
+    """A block's bits, and in the bits that are free in its first byte the number of its words (63 at most)."""
+    n = F.size(own)
+    votes = F.when(n <= 15, _few_votes(own)).when(n <= 63, _votes(own, 8)).when(n <= 16383, _votes(own, 16)).otherwise(_votes(own, 32))
+    return votes.bitwiseOR((F.least(n, F.lit(63)) * (1 << BYTE_BITS)).cast("long"))
+
+
 def simhash(words: Column) -> Column:
-    """An array of ``BLOCKS`` longs: each block's bits, and in the bits that are free in its first byte the number of its words (63 at most).
+    """An array of ``BLOCKS`` longs: each block's :func:`block_bits`.
 
     A word votes once, however often the line has it: else the commonest word would decide each block of a long line.
     """
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    blocks = let(hashes, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.filter(all_, lambda h: F.pmod(h, F.lit(BLOCKS)) == b)))
-
-    def block(own):
-        n = F.size(own)
-        votes = F.when(n <= 63, _votes(own, 8)).when(n <= 16383, _votes(own, 16)).otherwise(_votes(own, 32))
-        return votes.bitwiseOR((F.least(n, F.lit(63)) * (1 << BYTE_BITS)).cast("long"))
-
-    return F.transform(blocks, block)
+    return let(ordered_codes(word_codes(words)), lambda ordered: F.array(*[let(own, block_bits) for own in block_codes(ordered)]))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, id, line, a, b, chars, words, s0, s1, ...)`` for each line: two hashes of the normal form, its length, its number of words, its SimHash's blocks."""
-
-    def digest(words):
-        return let(F.array_join(words, " "), lambda norm: F.struct(
-            F.xxhash64(norm).alias("a"), F.xxhash64(F.lit("line"), norm).alias("b"), F.length(norm).alias("chars"), F.size(words).alias("words"), simhash(words).alias("sim")
-        ))
+    """``(doc, id, line, a, b, chars, words, s0, s1, ...)`` for each line: two hashes of the normal form, its length, its number of words, its SimHash's blocks.
 
+    The steps of :func:`simhash` are columns here, one after another: what feeds a lambda is interpreted, what feeds a column is compiled.
+    """
     # hashes of the whole text are made before the lines are: else they would be made for each line
     whole = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.split(text_col, "\n").alias("raw"))
     raw = whole.select("doc", "id", F.posexplode("raw").alias("line", "raw"))
-    return raw.select("doc", "id", "line", let(line_words(F.col("raw")), digest).alias("d")).select("doc", "id", "line", "d.a", "d.b", "d.chars", "d.words", *[F.col("d.sim")[i].alias(f"s{i}") for i in range(BLOCKS)])
+    own = [f"s{i}" for i in range(BLOCKS)]
+    found = raw.select("doc", "id", "line", line_words(F.col("raw")).alias("all"))
+    found = found.select("doc", "id", "line", F.size("all").alias("words"), F.array_join("all", " ").alias("norm"), word_codes(F.col("all")).alias("codes"))
+    found = found.select("doc", "id", "line", F.xxhash64("norm").alias("a"), F.xxhash64(F.lit("line"), "norm").alias("b"), F.length("norm").alias("chars"), "words", ordered_codes(F.col("codes")).alias("codes"))
+    found = found.select(*found.columns[:-1], *[c.alias(x) for c, x in zip(block_codes(F.col("codes")), own)])
+    return found.select(*found.columns[:-BLOCKS], *[block_bits(F.col(x)).alias(x) for x in own])
 
 
 def block_keys(lines: DataFrame) -> DataFrame:

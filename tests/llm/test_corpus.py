@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -239,6 +240,37 @@ def test_line_verdicts_of_odd_rows(odd):
     assert line_dedup.without_repeated_lines(odd).columns == odd.columns
 
 
+def test_bits_of_few_words_are_counted_at_once(spark):
+    r = random.Random(12)
+    rows = [([r.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in range(16) for _ in range(20)] + [([-1] * n,) for n in range(16)]
+    got = spark.createDataFrame(rows, "codes array<long>").select(line_dedup._few_votes(F.col("codes")).alias("x"), line_dedup._votes(F.col("codes"), 8).alias("y")).collect()
+    assert all(g["x"] == g["y"] for g in got) and len({g["x"] for g in got}) > 100
+
+
+def test_blocks_of_ordered_codes_are_those_of_words(spark):
+    """Against a filter for each block; lines of no words, repeated words and so many words that each number of lanes is used."""
+    texts = ["", "?!", "One, TWO; two_2", "x " * 50] + [" ".join(words(n, n, 10**6)) for n in (1, 5, 30, 75, 200, 400)]
+    line = F.split(F.lit("\n".join(texts)), "\n")
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(line, "\n").alias("text"))
+    got = [tuple(r[f"s{i}"] for i in range(5)) for r in line_dedup.lines_of(docs, "doc_id", "text").orderBy("line").collect()]
+    hashes = F.array_distinct(F.transform(line_dedup.line_words(F.col("line")), lambda w: F.xxhash64(w)))
+    own = lambda b: F.filter("h", lambda h: F.pmod(h, F.lit(5)) == b)
+    bits = lambda b: line_dedup._votes(own(b), 16).bitwiseOR((F.least(F.size(own(b)), F.lit(63)) * 4).cast("long"))
+    plain = spark.createDataFrame(list(enumerate(texts)), "n int, line string").select("n", hashes.alias("h")).select("n", *[bits(b) for b in range(5)])
+    assert got == [tuple(r)[1:] for r in plain.orderBy("n").collect()]
+
+
+def test_words_of_lines_of_all_scripts(spark):
+    lines = ["".join(map(chr, range(128))).replace("\n", ""), "A-b  C3\tß, Éa_1", "x\u0dffy\u0e00z\u0e01\u0effw\u0f00", "a\u3040b\u4e00\U00020000c\U0003134f", "\u1000\u10a0 \u33ff\uf900"]
+    got = [r["w"] for r in spark.createDataFrame([(x,) for x in lines], "x string").select(line_dedup.line_words(F.col("x")).alias("w")).collect()]
+
+    def plain(line):
+        spaced = re.sub("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])", r" \1 ", line.lower())
+        return "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in spaced).split()
+
+    assert got == [plain(x) for x in lines]
+
+
 # ---- graphs ----
 def test_linked_roots_and_components(spark):
     groups = {k: range(k * 100, k * 100 + n) for k, n in enumerate((1, 2, 6, 40))}
