@@ -7,6 +7,8 @@ With votes of all words in all blocks, one changed letter would move bits in eve
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +29,26 @@ SIMILARITY = 0.8
 SHORT_LINE, LONG_LINE = 150, 2000
 #: Scripts without spaces between words: each character is a word. One range holds all of them, so most characters are ruled out by one comparison.
 UNSPACED = r"([\u0E00-\x{3FFFF}&&[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]])"
+#: First bytes of the decimal digits of those scripts in UTF-8; they have no cased letters.
+UNSPACED_DIGITS = (b"\xe0", b"\xe1")
+
+
+def _masked(low: Column) -> Column:
+    """Cased letters and decimal digits as they are, a space for each other character."""
+    same = F.lit(None).cast("string")
+    return F.mask(low, same, same, same, F.lit(" "))
+
+
+def _words_of(low: Column, masked: Column) -> Column:
+    """:func:`line_words` of a line in lower case. Masking does where it took no character of several bytes, so no letter or mark, and none is of a script without spaces."""
+    size, spaced = F.octet_length(low), reduce(Column.__and__, [~F.contains(low.cast("binary"), F.lit(x)) for x in UNSPACED_DIGITS])
+    other = F.split(F.regexp_replace(low, UNSPACED, " $1 "), r"[^\p{L}\p{M}\p{N}]+")
+    return F.array_remove(F.when((size == F.length(low)) | ((size == F.octet_length(masked)) & spaced), F.split(masked, " ")).otherwise(other), "")
 
 
 def line_words(line: Column) -> Column:
     """The runs of letters, marks and digits, in lower case: what counts of a line. Punctuation and spacing don't."""
-    low, same = F.lower(line), F.lit(None).cast("string")
-    plain, other = F.split(F.mask(low, same, same, same, F.lit(" ")), " "), F.split(F.regexp_replace(low, UNSPACED, " $1 "), r"[^\p{L}\p{M}\p{N}]+")
-    return F.array_remove(F.when(F.octet_length(line) == F.length(line), plain).otherwise(other), "")
+    return _words_of(F.lower(line), _masked(F.lower(line)))
 
 
 def normalised_line(line: Column) -> Column:
@@ -59,18 +74,46 @@ def _votes(hashes: Column, width: int) -> Column:
     return out
 
 
+def _counted(hashes: Column, of: Callable[[Column], Column]) -> Column:
+    """The sum of ``of`` each hash, less 2**63: counting starts at the least long, so no sum of up to 2**64 - 1 overflows."""
+    return F.aggregate(hashes, _long(1 << 63), lambda a, x: a + of(x))
+
+
+def _few_counts(hashes: Column) -> Column:
+    """All bits that vote counted at once, in lanes of 4 bits: 9 times a byte's two lowest bits holds them 4 bits apart."""
+    return _counted(hashes, lambda x: (x.bitwiseAND(_long(sum(3 << (8 * i) for i in range(8)))) * 9).bitwiseAND(_long(sum(1 << (4 * i) for i in range(16)))))
+
+
+def _few_bits(counts: Column, n: Column) -> Column:
+    """The bits of :func:`_votes` from :func:`_few_counts` of n words."""
+    ones, every = sum(1 << (8 * i) for i in range(8)), sum(1 << (4 * i) for i in range(16))
+    full = (counts + (F.lit(7) - F.shiftright(n, 1)).cast("long") * _long(every)).bitwiseXOR(_long(1 << 63))
+    return F.shiftrightunsigned(full, 3).bitwiseAND(_long(ones)).bitwiseOR(F.shiftrightunsigned(full, 6).bitwiseAND(_long(ones << 1)))
+
+
 def _few_votes(hashes: Column) -> Column:
-    """:func:`_votes` of up to 15 words, all bits counted at once in lanes of 4 bits. Counting starts at the least long, so no sum overflows."""
-    ones, every, sign = sum(1 << (8 * i) for i in range(8)), sum(1 << (4 * i) for i in range(16)), _long(1 << 63)
-    fill = (F.lit(7) - F.shiftright(F.size(hashes), 1)).cast("long") * _long(every)
-    both = lambda x: x.bitwiseAND(_long(ones)).bitwiseOR(F.shiftleft(x, 3).bitwiseAND(_long(ones << 4)))
-    count = F.aggregate(hashes, sign + fill, lambda a, x: a + both(x)).bitwiseXOR(sign)
-    return let(count, lambda c: F.shiftrightunsigned(c, 3).bitwiseAND(_long(ones)).bitwiseOR(F.shiftrightunsigned(c, 6).bitwiseAND(_long(ones << 1))))
+    """:func:`_votes` of up to 15 words."""
+    return _few_bits(_few_counts(hashes), F.size(hashes))
+
+
+def _byte_counts(hashes: Column, bit: int) -> Column:
+    """The bits at ``bit`` of each byte counted, in lanes of 8 bits."""
+    return _counted(hashes, lambda x: (F.shiftrightunsigned(x, bit) if bit else x).bitwiseAND(_long(sum(1 << (8 * i) for i in range(8)))))
+
+
+def _byte_bits(counts: list[Column], n: Column) -> Column:
+    """The bits of :func:`_votes` from :func:`_byte_counts` of n words, up to 255."""
+    ones, out = sum(1 << (8 * i) for i in range(8)), _long(0)
+    fill = (F.lit(127) - F.shiftright(n, 1)).cast("long") * _long(ones)
+    for bit, count in enumerate(counts):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned((count + fill).bitwiseXOR(_long(1 << 63)), 7).bitwiseAND(_long(ones)), bit))
+    return out
 
 
 def word_codes(words: Column) -> Column:
-    """For each word 60 bits of its hash, which hold all that vote, below the number of its block."""
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(_long((1 << 60) - 1)).bitwiseOR(F.shiftleft(F.pmod(F.xxhash64(w), _long(BLOCKS)), 60)))
+    """For each word 60 bits of its hash, which hold all that vote, below the number of its block. Never null, which :func:`ordered_codes` sorts faster."""
+    block = lambda h: F.coalesce(F.pmod(h, _long(BLOCKS)), _long(0))
+    return F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: h.bitwiseAND(_long((1 << 60) - 1)).bitwiseOR(F.shiftleft(block(h), 60)))
 
 
 def ordered_codes(codes: Column) -> Column:
@@ -84,10 +127,16 @@ def block_codes(ordered: Column) -> list[Column]:
     return [F.slice(ordered, at[b] + 1, at[b + 1] - at[b] - 1) for b in range(BLOCKS)]
 
 
-def block_bits(own: Column) -> Column:
-    """A block's bits, and in the bits that are free in its first byte the number of its words (63 at most)."""
+def block_counts(own: Column) -> list[Column]:
+    """What :func:`block_bits` reads: votes counted (of over 255 words, the bits), and those for each byte's second bit where they are counted apart."""
     n = F.size(own)
-    votes = F.when(n <= 15, _few_votes(own)).when(n <= 63, _votes(own, 8)).when(n <= 16383, _votes(own, 16)).otherwise(_votes(own, 32))
+    first = F.when(n <= 15, _few_counts(own)).when(n <= 255, _byte_counts(own, 0)).when(n <= 16383, _votes(own, 16)).otherwise(_votes(own, 32))
+    return [first, F.when((n > 15) & (n <= 255), _byte_counts(own, 1)).otherwise(_long(0))]
+
+
+def block_bits(n: Column, counts: list[Column]) -> Column:
+    """A block's bits, and in the bits that are free in its first byte the number of its words (63 at most)."""
+    votes = F.when(n <= 15, _few_bits(counts[0], n)).when(n <= 255, _byte_bits(counts, n)).otherwise(counts[0])
     return votes.bitwiseOR((F.least(n, F.lit(63)) * (1 << BYTE_BITS)).cast("long"))
 
 
@@ -96,7 +145,7 @@ def simhash(words: Column) -> Column:
 
     A word votes once, however often the line has it: else the commonest word would decide each block of a long line.
     """
-    return let(ordered_codes(word_codes(words)), lambda ordered: F.array(*[let(own, block_bits) for own in block_codes(ordered)]))
+    return let(ordered_codes(word_codes(words)), lambda ordered: F.array(*[let(own, lambda x: block_bits(F.size(x), block_counts(x))) for own in block_codes(ordered)]))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,11 +157,15 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     whole = docs.where(F.col(text_col).isNotNull()).select(doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.split(text_col, "\n").alias("raw"))
     raw = whole.select("doc", "id", F.posexplode("raw").alias("line", "raw"))
     own = [f"s{i}" for i in range(BLOCKS)]
-    found = raw.select("doc", "id", "line", line_words(F.col("raw")).alias("all"))
+    found = raw.select("doc", "id", "line", F.lower("raw").alias("low"))
+    found = found.select("doc", "id", "line", "low", _masked(F.col("low")).alias("masked"))
+    found = found.select("doc", "id", "line", _words_of(F.col("low"), F.col("masked")).alias("all"))
     found = found.select("doc", "id", "line", F.size("all").alias("words"), F.array_join("all", " ").alias("norm"), word_codes(F.col("all")).alias("codes"))
     found = found.select("doc", "id", "line", F.xxhash64("norm").alias("a"), F.xxhash64(F.lit("line"), "norm").alias("b"), F.length("norm").alias("chars"), "words", ordered_codes(F.col("codes")).alias("codes"))
     found = found.select(*found.columns[:-1], *[c.alias(x) for c, x in zip(block_codes(F.col("codes")), own)])
-    return found.select(*found.columns[:-BLOCKS], *[block_bits(F.col(x)).alias(x) for x in own])
+    counts = [c.alias(f"{x}_{i}") for x in own for i, c in enumerate(block_counts(F.col(x)))]
+    found = found.select(*found.columns[:-BLOCKS], *[F.size(x).alias(x) for x in own], *counts)
+    return found.select(*found.columns[: -3 * BLOCKS], *[block_bits(F.col(x), [F.col(f"{x}_{i}") for i in range(2)]).alias(x) for x in own])
 
 
 def block_keys(lines: DataFrame) -> DataFrame:

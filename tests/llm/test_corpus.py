@@ -271,6 +271,36 @@ def test_words_of_lines_of_all_scripts(spark):
     assert got == [plain(x) for x in lines]
 
 
+def test_masked_words_are_those_of_patterns(spark):
+    """Each code point between two letters, and beside letters of two bytes; patterns are the other way to the same words."""
+    rows = [(chr(p),) for p in range(0x20, 0x30000) if not 0xD800 <= p < 0xE000]
+    low = F.lower("x")
+    by_pattern = F.array_remove(F.split(F.regexp_replace(low, line_dedup.UNSPACED, " $1 "), r"[^\p{L}\p{M}\p{N}]+"), "")
+    each = spark.createDataFrame(rows, "c string").select(F.explode(F.array(F.concat(F.lit("a"), "c", F.lit("b")), F.concat(F.lit("\u00e9"), "c", F.lit("\u0436 A")))).alias("x"))
+    assert each.where(line_dedup.line_words(F.col("x")) != by_pattern).collect() == []
+
+
+def test_lines_of_cased_letters_need_no_pattern(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "UNSPACED", "(\u00e9|\u0436|\u0e50)")
+    got = [r["w"] for r in spark.createDataFrame([("Caf\u00e9s, \u0416\u0436\u0436",), ("x\u0e50y",), ("caf\u00e9s\u2014",)], "x string").select(line_dedup.line_words(F.col("x")).alias("w")).collect()]
+    assert got == [["caf\u00e9s", "\u0436\u0436\u0436"], ["x", "\u0e50", "y"], ["caf", "\u00e9", "s"]]
+
+
+def test_codes_are_sorted_without_boxes(spark):
+    """Arrays that may hold nulls are sorted as objects."""
+    codes = line_dedup.word_codes(line_dedup.line_words(F.col("x")))
+    df = spark.createDataFrame([("a b",)], "x string").select(codes.alias("c"), line_dedup.ordered_codes(codes).alias("o"))
+    assert not any(f.dataType.containsNull for f in df.schema.fields)
+
+
+def test_bits_counted_in_bytes(spark):
+    r = random.Random(13)
+    rows = [([r.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 16, 63, 64, 127, 128, 254, 255)] + [([x] * n,) for n in (16, 255) for x in (0, -1)]
+    counts = [line_dedup._byte_counts(F.col("codes"), bit) for bit in range(2)]
+    got = spark.createDataFrame(rows, "codes array<long>").select(line_dedup._byte_bits(counts, F.size("codes")).alias("x"), line_dedup._votes(F.col("codes"), 16).alias("y")).collect()
+    assert all(g["x"] == g["y"] for g in got)
+
+
 # ---- graphs ----
 def test_linked_roots_and_components(spark):
     groups = {k: range(k * 100, k * 100 + n) for k, n in enumerate((1, 2, 6, 40))}
