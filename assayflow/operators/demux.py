@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.functions.semantics import count_char, hamming, mean_phred, slice_at, translate_codons  # noqa: F401
 from assayflow.functions.sizes import MOST_BROADCAST_BYTES, few, table_bytes
+from assayflow.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -23,43 +26,79 @@ class Slice:
     name: str = "Index1"
 
 
-def with_match(reads: DataFrame, keys: DataFrame, at: Slice, out: str = "key", plus_one: bool = True, ambiguous: str = "discard", fuzzy_needs_plus_one: bool = True) -> DataFrame:
-    """The reads with a column ``out``: the key that the slice, or a shifted one, is exactly; else the nearest by substitutions; else null.
+def _differ(a: Column, b: Column, length: int) -> Column:
+    """Positions at which two strings of ``length`` differ; without lambdas if there are few."""
+    if not 0 < length <= 32:
+        return hamming(a, b)
+    return reduce(lambda x, y: x + y, [(F.substring(a, i + 1, 1) != F.substring(b, i + 1, 1)).cast("int") for i in range(length)])
 
-    Shifts come in order of preference: at the start, one and two before, one after. Keys are few beside reads, so the reads stay where they
-    are: each shift is a lookup in the broadcast keys (up to a size; joins shuffle beyond). For substitutions, keys are listed by each of
-    their ``mismatches + 1`` parts, of which one has to agree, and the candidates are told apart within the row. Of several nearest keys
-    none counts (``discard``) or the first by ``ord`` (``first``). Keys of another length than the slice never match.
+
+def _kept_parts(length: int, most: int, keys: int) -> list[list[tuple[int, int]]]:
+    """The (start, length) pieces of which one list is equal in any two strings that differ in ``most`` places at most.
+
+    A string is cut into parts, and all but ``most`` of them are kept in each way there is. More parts give more lists, but longer
+    ones, that fewer keys share; the number is the one with the fewest keys (of four letters) to compare a string with.
     """
-    own = keys.groupBy("key").agg(F.min("ord" if "ord" in keys.columns else "key").alias("ord"))
-    near = table_bytes(own) <= MOST_BROADCAST_BYTES
-    held = F.broadcast if near else lambda t: t
+    best = (float("inf"), [[]])
+    for parts in range(most + 1, length + 1):
+        edges = [length * i // parts for i in range(parts + 1)]
+        sizes = sorted(b - a for a, b in zip(edges, edges[1:]))
+        cost = comb(parts, most) * (1 + keys / 4.0 ** sum(sizes[: parts - most]))
+        if cost < best[0]:
+            best = (cost, [[(edges[i], edges[i + 1] - edges[i]) for i in kept] for kept in combinations(range(parts), parts - most)])
+    return best[1]
+
+
+def _marks(s: Column, kept: list[list[tuple[int, int]]]) -> Column:
+    return F.explode(F.array(*[F.concat(F.lit(f"{i}:"), *[F.substring(s, a + 1, n) for a, n in pieces]) for i, pieces in enumerate(kept)]))
+
+
+def close_keys(slices: DataFrame, keys: DataFrame, length: int, most: int) -> DataFrame:
+    """``(s, key, distance)`` of all keys within ``most`` substitutions of the distinct slices ``(s)``, stored in the shared folder.
+
+    Slices and keys are paired by what is left of them without the parts that may differ (``_kept_parts``), then compared.
+    """
+    own = keys.where(F.length("key") == length).select("key").distinct()
+    kept = _kept_parts(length, most, own.count())
+    slices = stored(slices.where(F.length("s") == length).select("s").distinct(), "slices")
+    left, right = slices.select("s", _marks(F.col("s"), kept).alias("mark")), own.select("key", _marks(F.col("key"), kept).alias("mark"))
+    pairs = few(left).join(right, "mark").withColumn("distance", _differ(F.col("s"), F.col("key"), length))
+    return stored(pairs.where(F.col("distance") <= most).select("s", "key", "distance").distinct(), "close-keys")
+
+
+def _exact(reads: DataFrame, own: DataFrame, at: Slice, out: str, plus_one: bool) -> DataFrame:
+    """The reads with a column ``out``: the key that the slice, or the first of the shifted ones, is."""
+    held = F.broadcast if table_bytes(own) <= MOST_BROADCAST_BYTES else lambda t: t
     shifts, column, tried = [0, -1, -2] + ([1] if plus_one else []), F.col(at.column), []
-    found = reads
     for i, shift in enumerate(shifts):
         tried.append(f"__{out}{i}")
-        found = found.join(held(own.select(F.col("key").alias(tried[-1]))), slice_at(column, at.start + shift, at.length) == F.col(tried[-1]), "left")
-    found = found.withColumn(out, F.coalesce(*tried)).drop(*tried)
+        reads = reads.join(held(own.select(F.col("key").alias(tried[-1]))), slice_at(column, at.start + shift, at.length) == F.col(tried[-1]), "left")
+    return reads.withColumn(out, F.coalesce(*tried)).drop(*tried)
+
+
+def with_match(reads: DataFrame, keys: DataFrame, at: Slice, out: str = "key", plus_one: bool = True, ambiguous: str = "discard", fuzzy_needs_plus_one: bool = True, source: DataFrame | None = None) -> DataFrame:
+    """The reads with a column ``out``: the key that the slice, or a shifted one, is exactly; else the nearest by substitutions; else null.
+
+    Shifts come in order of preference: at the start, one and two before, one after. Keys are few beside reads, so the reads stay where they
+    are: each shift is a lookup in the broadcast keys (up to a size; joins shuffle beyond). For substitutions, the distinct slices of reads that
+    are left over are matched first, in a pass over ``source`` (the reads before columns were added to them; else ``reads``), and then looked up.
+    Of several nearest keys none counts (``discard``) or the first by ``ord`` (``first``). Keys of another length than the slice never match.
+    """
+    own = keys.groupBy("key").agg(F.min("ord" if "ord" in keys.columns else "key").alias("ord"))
+    found = _exact(reads, own, at, out, plus_one)
     if not at.mismatches or (fuzzy_needs_plus_one and not plus_one):
         return found
-    parts = at.mismatches + 1
-    edges = [at.length * i // parts for i in range(parts + 1)]
-    listed = own.where(F.length("key") == at.length).select("key", "ord", F.split("key", "").alias("letters"))
-    found = found.withColumn("__s", F.when(F.col(out).isNull(), slice_at(column, at.start, at.length)))
-    lists = []
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        lists.append(f"__list{i}")
-        by_part = listed.groupBy(F.substring("key", a + 1, b - a).alias(f"__part{i}")).agg(F.collect_list(F.struct("key", "ord", "letters")).alias(lists[-1]))
-        found = found.join(held(by_part), F.substring("__s", a + 1, b - a) == F.col(f"__part{i}"), "left").drop(f"__part{i}")
-    none = F.array().cast(found.schema[lists[0]].dataType)
-    every = F.concat(*[F.coalesce(c, none) for c in lists])
-    differ = lambda k, letters: F.size(F.filter(F.zip_with(k["letters"], letters, lambda x, y: x != y), lambda x: x))
-    close = F.transform(F.array(F.split("__s", "")), lambda letters: F.filter(F.transform(every, lambda k: F.struct(differ(k, letters).alias("distance"), k["ord"].alias("ord"), k["key"].alias("key"))), lambda k: k["distance"] <= at.mismatches))[0]
-    if ambiguous == "first":
-        best = F.array_min(close)["key"]
-    else:
-        best = F.transform(F.array(F.array_distinct(close)), lambda x: F.when(F.size(F.filter(x, lambda k: k["distance"] == F.array_min(x)["distance"])) == 1, F.array_min(x)["key"]))[0]
-    return found.withColumn(out, F.coalesce(out, F.when(F.col("__s").isNotNull(), best))).drop("__s", *lists)
+    asked = F.when(F.col(out).isNull(), slice_at(F.col(at.column), at.start, at.length))
+    left = _exact((reads if source is None else source).select(at.column), own, at, out, plus_one).select(asked.alias("s"))
+    close = close_keys(left, own, at.length, at.mismatches).join(few(own), "key").groupBy("s", "distance").agg(F.count("*").alias("n"), F.min(F.struct("ord", "key")).alias("first"))
+    best = close.groupBy("s").agg(F.min(F.struct("distance", "n", "first")).alias("x"))
+    if ambiguous != "first":
+        best = best.where("x.n = 1")
+    best = stored(best.select(F.col("s").alias("__of"), F.col("x.first.key").alias("__near"), F.lit(True).alias("__yes")), "nearest-keys")
+    # reads that don't ask are spread by their own text, should the join shuffle
+    found = found.withColumn("__s", asked).withColumn("__asks", F.col("__s").isNotNull()).withColumn("__s", F.coalesce("__s", at.column))
+    found = found.join(few(best), (F.col("__s") == F.col("__of")) & (F.col("__asks") == F.col("__yes")), "left")
+    return found.withColumn(out, F.coalesce(out, "__near")).drop("__s", "__asks", "__of", "__near", "__yes")
 
 
 def shifted_match(reads: DataFrame, keys: DataFrame, at: Slice, plus_one: bool = True) -> DataFrame:
@@ -68,22 +107,12 @@ def shifted_match(reads: DataFrame, keys: DataFrame, at: Slice, plus_one: bool =
     return with_match(reads.select("read_id", at.column), keys, exact, "key", plus_one).where("key is not null").select("read_id", "key")
 
 
-def _segments(s: Column, length: int, parts: int) -> Column:
-    edges = [length * i // parts for i in range(parts + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("part"), F.substring(s, a + 1, b - a).alias("seg")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-
-
 def hamming_join(slices: DataFrame, keys: DataFrame, length: int, most: int) -> DataFrame:
     """``(read_id, key, distance)`` of all keys within ``most`` substitutions of a read's slice ``s``.
 
-    Strings of which one part in most + 1 has to agree are paired by an equi-join on (part, segment), then verified. Keys of
-    another length than the slice never match.
+    Distinct slices are matched (:func:`close_keys`) and the keys handed to their reads. Keys of another length than the slice never match.
     """
-    left = slices.where(F.length("s") == length).select("read_id", "s", F.explode(_segments(F.col("s"), length, most + 1)).alias("x")).select("read_id", "s", "x.part", "x.seg")
-    own = keys.select("key").distinct().where(F.length("key") == length)
-    right = own.select("key", F.explode(_segments(F.col("key"), length, most + 1)).alias("x")).select("key", "x.part", "x.seg")
-    pairs = left.join(right, ["part", "seg"]).select("read_id", "s", "key").distinct()
-    return pairs.withColumn("distance", hamming(F.col("s"), F.col("key"))).where(F.col("distance") <= most).select("read_id", "key", "distance")
+    return slices.join(few(close_keys(slices, keys, length, most)), "s").select("read_id", "key", "distance")
 
 
 def nearest(hits: DataFrame, ambiguous: str = "discard", order: DataFrame | None = None) -> DataFrame:
@@ -111,7 +140,7 @@ def with_sample(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, index
     found, ids = reads, [f"id{i}" for i in range(len(indexes))]
     codes = barcodes.groupBy("key").agg(F.min("id").alias("__id"))
     for i, at in enumerate(indexes):
-        found = with_match(found, barcodes, at, "__key", plus_one)
+        found = with_match(found, barcodes, at, "__key", plus_one, source=reads)
         found = found.join(few(codes.withColumnRenamed("key", "__code")), F.col("__key") == F.col("__code"), "left")
         known = F.col("__id") if not i else F.when(F.col(ids[i - 1]).isNotNull(), F.col("__id"))
         found = found.withColumn(ids[i], known).drop("__key", "__code", "__id")
@@ -155,14 +184,17 @@ def count_reads(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, index
     """``(peptide, sample, score)`` of the reads in one pass: sample and tag are found row by row, and only partial counts are shuffled."""
     single = _single(library)
     found = with_sample(reads, barcodes, samples, indexes, plus_one).where("sample is not null")
-    found = with_match(found, library, tag, "key", plus_one, ambiguous).where("key is not null").groupBy("key", "sample").agg(F.count("*").alias("n"))
+    found = with_match(found, library, tag, "key", plus_one, ambiguous, source=reads).where("key is not null").groupBy("key", "sample").agg(F.count("*").alias("n"))
     return _cells(found.join(few(single), "key").select("peptide", "sample", "n"), single, samples)
 
 
 def reference_free_counts(assigned: DataFrame, at: Slice) -> DataFrame:
-    """``(peptide, sample, score)`` of reads with their ``sample``: each tag slice is its own reference."""
+    """``(peptide, sample, score)`` of reads with their ``sample``: each tag slice is its own reference.
+
+    Reads without a slice go after they are counted: a filter before would make each read's sequence once more.
+    """
     own = assigned.where("sample is not null").select(slice_at(F.col(at.column), at.start, at.length).alias("peptide"), "sample")
-    return own.where("peptide is not null").groupBy("peptide", "sample").agg(F.count("*").alias("score"))
+    return own.groupBy("peptide", "sample").agg(F.count("peptide").alias("score")).where("score > 0")
 
 
 def diagnostics(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, indexes: list[Slice], library: DataFrame, tag: Slice, plus_one: bool = True) -> DataFrame:
@@ -171,7 +203,7 @@ def diagnostics(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, index
     One pass over the reads: they are counted by all their ids, and the few counts are summed by each number of first ids.
     """
     ids = [f"id{i}" for i in range(len(indexes))]
-    found = with_match(with_sample(reads, barcodes, samples, indexes, plus_one), library, tag, "__tag", plus_one, "first")
+    found = with_match(with_sample(reads, barcodes, samples, indexes, plus_one), library, tag, "__tag", plus_one, "first", source=reads)
     counted = found.where("id0 is not null").groupBy(*ids).agg(F.count("*").alias("n"), F.count("__tag").alias("tagged"))
     out = samples.select("sample", "ids")
     for j in range(len(ids)):
@@ -208,8 +240,12 @@ def by_encoding(counts: DataFrame) -> DataFrame:
 
 
 def by_translation(counts: DataFrame) -> DataFrame:
-    """Counts of nucleotide sequences summed by their amino acids; unknown codons fall away."""
-    return counts.select(translate_codons(F.col("peptide")).alias("peptide"), "sample", "score").where("peptide is not null").groupBy("peptide", "sample").agg(F.sum("score").alias("score"))
+    """Counts of nucleotide sequences summed by their amino acids; unknown codons fall away.
+
+    They fall away after the sum: a filter on the translation would be moved below the counts and translate each read.
+    """
+    by = counts.select(translate_codons(F.col("peptide")).alias("peptide"), "sample", "score").groupBy("peptide", "sample")
+    return by.agg(F.sum("score").alias("score"), F.count("peptide").alias("n")).where("n > 0").drop("n")
 
 
 def truncation(library: DataFrame, length: int) -> DataFrame:
@@ -230,7 +266,7 @@ def replicate_histogram(samples: DataFrame) -> DataFrame:
 
 def match_rates(reads: DataFrame, barcodes: DataFrame, samples: DataFrame, indexes: list[Slice], library: DataFrame, tag: Slice, plus_one: bool = True) -> DataFrame:
     """One row: reads, percent with a sample's indexes, percent with indexes and tag."""
-    found = with_match(with_sample(reads, barcodes, samples, indexes, plus_one), library, tag, "__tag", plus_one, "first")
+    found = with_match(with_sample(reads, barcodes, samples, indexes, plus_one), library, tag, "__tag", plus_one, "first", source=reads)
     n = F.count("*")
     both = F.count(F.when(F.col("sample").isNotNull() & F.col("__tag").isNotNull(), 1))
     return found.agg(n.alias("n_reads"), (100 * F.count("sample") / n).alias("pct_index"), (100 * both / n).alias("pct_index_tag"))

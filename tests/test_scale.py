@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayflow.operators import extras
+from assayflow.operators import demux, extras
 
 
 def scores(spark, rows):
@@ -29,3 +29,45 @@ def test_correlations_of_equal_peptides_in_few_blocks(spark, monkeypatch, method
             want[a, b] = round(r, 9)
     got = extras.peptide_correlations(m, 0.8, 0.0, method).collect()
     assert len(got) == len(want) and {(r["a"], r["b"]): round(r["r"], 9) for r in got} == want
+
+
+def test_substitutions_are_found_with_any_number_of_parts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("ACG"), n))
+    keys = [(word(6), i) for i in range(30)]
+    reads = [(i, word(8)) for i in range(60)]
+    at = demux.Slice("seq", 1, 6, 2)
+    slices = spark.createDataFrame([(i, s[1:7]) for i, s in reads], "read_id long, s string")
+    held = {k for k, _ in keys}
+    order = {k: min(o for x, o in keys if x == k) for k in held}
+    differ = lambda a, b: sum(x != y for x, y in zip(a, b))
+    want, first, only = set(), {}, {}
+    for i, s in reads:
+        want |= {(i, k, differ(s[1:7], k)) for k in held if differ(s[1:7], k) <= 2}
+        exact = [s[p : p + 6] for p in (1, 0, 2) if s[p : p + 6] in held]
+        near = sorted((differ(s[1:7], k), order[k], k) for k in held if differ(s[1:7], k) <= 2)
+        if exact or near:
+            first[i] = exact[0] if exact else near[0][2]
+        if exact or near and (len(near) == 1 or near[1][0] > near[0][0]):
+            only[i] = first[i]
+    df, kf = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(keys, "key string, ord int")
+    for n in (1, 10**6):  # few long parts, many short ones
+        kept = demux._kept_parts(6, 2, n)
+        monkeypatch.setattr(demux, "_kept_parts", lambda *_, kept=kept: kept)
+        assert {tuple(r) for r in demux.hamming_join(slices, kf, 6, 2).collect()} == want
+        assert {tuple(r) for r in demux.tolerant_match(df, kf, at, ambiguous="first").collect()} == set(first.items())
+        assert {tuple(r) for r in demux.tolerant_match(df, kf, at).collect()} == set(only.items())
+        monkeypatch.undo()
+
+
+def test_parts_grow_with_the_keys():
+    assert len(demux._kept_parts(10, 2, 10)) == 3 and len(demux._kept_parts(10, 2, 60_000)) == 45
+    assert demux._kept_parts(2, 2, 5) == [[]]
+
+
+def test_translations_are_counted_before_unknown_codons_go(spark):
+    rows = [("ATGTTT", "s", 2), ("ATGTTC", "s", 3), ("ATGNNN", "s", 4)]
+    got = demux.by_translation(spark.createDataFrame(rows, "peptide string, sample string, score long"))
+    assert [tuple(r) for r in got.select("peptide", "sample", "score").collect()] == [("MF", "s", 5)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and plan.index("Filter") < plan.index("Aggregate")  # above it: the translation isn't pushed to the reads
