@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assayflow.functions import semantics as sem
 from assayflow.operators import demux, extras
 
 
@@ -71,3 +72,9 @@ def test_translations_are_counted_before_unknown_codons_go(spark):
     assert [tuple(r) for r in got.select("peptide", "sample", "score").collect()] == [("MF", "s", 5)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan and plan.index("Filter") < plan.index("Aggregate")  # above it: the translation isn't pushed to the reads
+
+
+def test_rounding_goes_by_the_double(spark):
+    x = F.lit(41.0) / F.lit(640.0)  # times a million just below 64062.5
+    got = spark.range(1).select(*[sem.round_binary(c, 6) for c in (x, -x, F.lit(0.1640625), F.lit(1e300), F.lit(float("nan")), F.lit(float("-inf")))]).first()
+    assert list(got[:4]) == [0.064062, -0.064062, 0.164063, 1e300] and np.isnan(got[4]) and got[5] == float("-inf")
