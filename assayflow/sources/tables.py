@@ -37,37 +37,38 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``(read_id, name, seq, qual)`` of a file of four-line records, plain or gzip.
+    """``(read_id, name, seq, qual)`` of four-line records, plain or gzip, in a file or in files that are taken in the order of their names.
 
-    ``read_id`` is the record's place, so that two files pair by it. Line numbers come from the sizes of the partitions
-    before: their counts are the only data that the driver sees. Records are put together where they are read; only the
-    lines of records that two partitions share, a few for each partition, are shuffled.
+    ``read_id`` is the record's place, so that two inputs pair by it. Line numbers come from the sizes of the pieces that files are read in:
+    their counts are the only data that the driver sees. Spark deals pieces to partitions by size, so they are put in order by file and
+    offset. Records are put together where they are read; only the lines of records that two pieces share are shuffled.
     """
     raw = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
     part, at = F.shiftright("id", 33).cast("int"), F.col("id").bitwiseAND((1 << 33) - 1)
-    sizes = raw.groupBy(part.alias("part")).count().orderBy("part").collect()
+    by = raw.select(part.alias("part"), at.alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"))
+    sizes = by.groupBy("part", "file", "offset").agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("file", "offset").collect()
     spans, total = [], 0
     for r in sizes:
-        spans.append((r["part"], total, total + r["count"]))
-        total += r["count"]
+        spans.append((r["part"], r["first"], r["first"] + r["n"], total, total + r["n"]))
+        total += r["n"]
     if total % 4:
         raise ValueError(f"{total} lines are not whole records of four")
-    begin = spark.createDataFrame(spans, "part int, start long, stop long")
-    lines = raw.select(part.alias("part"), at.alias("at"), F.rtrim("value").alias("value")).join(F.broadcast(begin), "part")
-    lines = lines.select("value", (F.col("start") + F.col("at")).alias("line"), "start", "stop").withColumn("read_id", F.floor(F.col("line") / 4))
+    begin = spark.createDataFrame(spans, "of int, first long, last long, start long, stop long")
+    lines = raw.select(part.alias("part"), at.alias("at"), F.rtrim("value").alias("value"))
+    lines = lines.join(F.broadcast(begin), (F.col("part") == F.col("of")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("last")))
+    lines = lines.select("value", (F.col("start") + F.col("at") - F.col("first")).alias("line"), "start", "stop").withColumn("read_id", F.floor(F.col("line") / 4))
     whole = (F.col("read_id") * 4 >= F.col("start")) & (F.col("read_id") * 4 + 3 < F.col("stop"))
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[str] = []
-        first = None
+        ids: list[int] = []
         for batch in batches:
-            if first is None and len(batch):
-                first = int(batch["read_id"].iloc[0])
             kept += batch["value"].tolist()
-            n = len(kept) // 4
+            ids += batch["read_id"].tolist()
+            n = len(kept) // 4 * 4
             if n:
-                yield pd.DataFrame({"read_id": range(first, first + n), "name": kept[0 : 4 * n : 4], "seq": kept[1 : 4 * n : 4], "qual": kept[3 : 4 * n : 4]})
-                kept, first = kept[4 * n :], first + n
+                yield pd.DataFrame({"read_id": ids[0:n:4], "name": kept[0:n:4], "seq": kept[1:n:4], "qual": kept[3:n:4]})
+                kept, ids = kept[n:], ids[n:]
 
     of = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
     edges = lines.where(~whole).groupBy("read_id").agg(of(0).alias("name"), of(1).alias("seq"), of(3).alias("qual"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assayflow.functions import semantics as sem
 from assayflow.operators import demux, extras
+from assayflow.sources import tables
 
 
 def scores(spark, rows):
@@ -78,3 +79,18 @@ def test_rounding_goes_by_the_double(spark):
     x = F.lit(41.0) / F.lit(640.0)  # times a million just below 64062.5
     got = spark.range(1).select(*[sem.round_binary(c, 6) for c in (x, -x, F.lit(0.1640625), F.lit(1e300), F.lit(float("nan")), F.lit(float("-inf")))]).first()
     assert list(got[:4]) == [0.064062, -0.064062, 0.164063, 1e300] and np.isnan(got[4]) and got[5] == float("-inf")
+
+
+def test_fastq_pieces_are_put_in_order(spark, tmp_path):
+    def file(name, first, n):
+        (tmp_path / name).write_text("".join(f"@r{i}\n{'ACGT' * (1 + i % 7)}\n+\n{'I' * (4 + 4 * (i % 7))}\n" for i in range(first, first + n)))
+
+    file("part-0.txt", 0, 7), file("part-1.txt", 7, 90), file("part-2.txt", 97, 20)  # larger pieces are dealt first, whatever their place
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("333b", "1500b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = tables.read_fastq(spark, str(tmp_path)).orderBy("read_id").collect()
+            assert [(r["read_id"], r["name"], len(r["seq"]), len(r["qual"])) for r in got] == [(i, f"@r{i}", 4 + 4 * (i % 7), 4 + 4 * (i % 7)) for i in range(117)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
