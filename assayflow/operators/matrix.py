@@ -73,8 +73,11 @@ def join_all(matrices: list[tuple[str, DataFrame]], resolve: str = "include") ->
 
 
 def different(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Cells that are in one matrix and not the other; none if the matrices are equal."""
-    return a.exceptAll(b).withColumn("only_in", F.lit("first")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("second")))
+    """Cells that are in one matrix and not the other; none if the matrices are equal. Cells are counted once, for both ways: more in the first, or fewer."""
+    both = a.select(*CELL, "score", F.lit(1).alias("side")).unionByName(b.select(*CELL, "score", F.lit(-1).alias("side")))
+    left = both.groupBy(*CELL, "score").agg(F.sum("side").alias("more")).where("more <> 0")
+    only = F.when(F.col("more") > 0, "first").otherwise("second")
+    return left.select(*CELL, "score", F.explode(F.array_repeat(only, F.abs("more").cast("int"))).alias("only_in"))
 
 
 def wide(m: DataFrame, samples: list[str]) -> DataFrame:
