@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from fractions import Fraction
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,46 +57,93 @@ def per_peptide(links: DataFrame, strategy: str) -> DataFrame:
 
 
 class Greedy:
-    """One sample's rounds: tie group of the top species, its peptides go, the rest is scored again."""
-
-    def __init__(self, links: list[tuple[str, str, float]], thresholds: dict[str, float], strategy: str, tie: float, overlap: float, score_filter: bool):
-        self.weights: dict[str, dict[str, float]] = defaultdict(dict)
-        for p, s, w in links:
-            self.weights[s][p] = w
-        self.by_peptide: dict[str, set[str]] = defaultdict(set)
-        for s, own in self.weights.items():
-            for p in own:
-                self.by_peptide[p].add(s)
-        self.left = {s: set(own) for s, own in self.weights.items()}
+    """One sample's rounds: tie group of the top species, its peptides go, the rest is scored again.
+
+    Links are arrays of numbers of peptides and species, so a sample takes some 30 bytes a link, and a round is a few passes over them.
+    """
+
+    def __init__(self, links: pa.Table, thresholds: dict[str, float], strategy: str, tie: float, overlap: float, score_filter: bool):
+        codes, self.names, weights = [], [], links.column("weight").to_numpy().astype(float)
+        for name in ("peptide", "species"):
+            c = links.column(name).combine_chunks().dictionary_encode()
+            c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+            words = c.dictionary.to_pylist() if name == "species" else c.dictionary
+            codes.append(c.indices.to_numpy(zero_copy_only=False).astype(np.int32))
+            self.names.append(words)
+        p, s = codes
+        order = np.lexsort((p, s))  # stable: of a link that is given twice the last counts
+        p, s, weights = p[order], s[order], weights[order]
+        last = np.ones(len(p), bool)
+        last[:-1] = (p[1:] != p[:-1]) | (s[1:] != s[:-1])
+        self.p, self.w, s = p[last], weights[last], s[last]
+        self.n_peptides, self.species = len(self.names[0]), self.names[1]
+        self.edges = np.searchsorted(s, np.arange(len(self.species) + 1))
+        self.here = np.ones(self.n_peptides, bool)
         self.default = thresholds.get("", 0.0)
         self.thresholds, self.strategy, self.tie, self.overlap, self.score_filter = thresholds, strategy, tie, overlap, score_filter
+        self.of_peptide = np.bincount(self.p, minlength=self.n_peptides)
+        self.exact = bool(np.all(self.w == np.floor(self.w)) and np.abs(self.w).sum() < 2.0**53)
+        self.held: dict[int, tuple[int, float]] = {}
+
+    def threshold(self, s: int) -> float:
+        return self.thresholds.get(self.species[s], self.default)
+
+    def own(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """All peptides of a species and their weights."""
+        return self.p[self.edges[s] : self.edges[s + 1]], self.w[self.edges[s] : self.edges[s + 1]]
 
-    def threshold(self, s: str) -> float:
-        return self.thresholds.get(s, self.default)
+    def left(self, s: int) -> np.ndarray:
+        p = self.own(s)[0]
+        return p[self.here[p]]
 
-    def part(self, p: str, s: str) -> float:
+    def parts(self, s: int) -> np.ndarray:
+        """What each peptide that is left adds to a species."""
+        p, w = self.own(s)
+        left = self.here[p]
         if self.strategy == "integer":
-            return 1.0
-        return 1 / len(self.by_peptide[p]) if self.strategy == "fraction" else self.weights[s][p]
-
-    def score(self) -> dict[str, float]:
-        found = {s: sum(self.part(p, s) for p in sorted(own)) for s, own in self.left.items() if own}
-        return {s: x for s, x in found.items() if (x if self.score_filter else len(self.left[s])) >= self.threshold(s)}
-
-    def shared(self, a: str, b: str) -> tuple[float, float]:
-        if self.strategy == "summation":
-            x, y = self.weights[a], self.weights[b]
-            part = lambda one, two: sum(w for p, w in one.items() if two.get(p, 0) > 0) / (sum(one.values()) or 1)
-            return part(x, y), part(y, x)
-        n = len(self.left[a] & self.left[b])
-        if self.overlap % 1:
-            return n / len(self.left[a]), n / len(self.left[b])
-        return float(n), float(n)
+            return np.ones(int(left.sum()))
+        return 1 / self.of_peptide[p[left]] if self.strategy == "fraction" else w[left]
+
+    def total(self, s: int) -> float:
+        """The sum of the parts, rounded once."""
+        parts = self.parts(s)
+        if self.strategy == "integer" or (self.strategy == "summation" and self.exact):
+            return float(parts.sum())
+        values, times = np.unique(parts, return_counts=True)
+        return float(sum((Fraction(v) * int(n) for v, n in zip(values.tolist(), times)), Fraction(0))) if len(values) < 1000 else math.fsum(parts.tolist())
+
+    def score(self) -> dict[int, float]:
+        """Scores of the species that reach their threshold; those that lost no peptide since the last round keep theirs."""
+        found = {}
+        for s in range(len(self.species)):
+            n = len(self.left(s))
+            if n and self.held.get(s, (0, 0.0))[0] != n:
+                self.held[s] = (n, self.total(s))
+            if n and (self.held[s][1] if self.score_filter else n) >= self.threshold(s):
+                found[s] = self.held[s][1]
+        return found
+
+    def shared(self, cand: list[int]) -> np.ndarray:
+        """How much each candidate shares with each other: sums over slices of peptides of products of candidates' rows."""
+        c, weighed = len(cand), self.strategy == "summation"
+        total, step = np.zeros((c, c)), max(1, (1 << 22) // c)
+        own = [self.own(s) if weighed else (self.left(s), None) for s in cand]
+        for at in range(0, self.n_peptides, step):
+            end = min(at + step, self.n_peptides)
+            x, has = np.zeros((c, end - at)), np.zeros((c, end - at))
+            for i, (p, w) in enumerate(own):
+                a, b = np.searchsorted(p, (at, end))
+                x[i, p[a:b] - at] = w[a:b] if weighed else 1.0
+                has[i, p[a:b] - at] = w[a:b] > 0 if weighed else 1.0
+            total += x @ has.T
+        if weighed:
+            return total / np.array([[w.sum() or 1.0] for _, w in own])
+        return total / np.array([[len(p)] for p, _ in own]) if self.overlap % 1 else total
 
     def enough(self, o: tuple[float, float]) -> bool:
         return self.overlap == 0 or min(o) >= self.overlap
 
-    def group(self, ranked: list[tuple[str, float]]) -> list[str]:
+    def group(self, ranked: list[tuple[int, float]]) -> list[int]:
         top, cand = ranked[0][1], [ranked[0][0]]
         for s, x in ranked[1:]:
             near = top - x <= self.tie if self.tie % 1 == 0 else (x / top if top else 1.0) >= self.tie
@@ -103,80 +152,95 @@ class Greedy:
             cand.append(s)
         if len(cand) == 1:
             return cand
+        matrix = self.shared(cand).tolist()
+        both = lambda a, b: (matrix[a][b], matrix[b][a])
         if len(cand) == 2:
-            return cand if self.enough(self.shared(*cand)) else cand[:1]
+            return cand if self.enough(both(0, 1)) else cand[:1]
         value = dict(ranked)
         o, i, best = 0, 0, (0.0, 0.0)
         for a in range(len(cand)):
             for b in range(a + 1, len(cand)):
-                both = self.shared(cand[a], cand[b])
-                if min(both) > 0 and value[cand[o]] > value[cand[a]] and value[cand[i]] > value[cand[b]]:
-                    o, i, best = a, b, both
+                if min(both(a, b)) > 0 and value[cand[o]] > value[cand[a]] and value[cand[i]] > value[cand[b]]:
+                    o, i, best = a, b, both(a, b)
         out = [cand[o]]
         if self.enough(best) and i != o:
             out.append(cand[i])
-            out += [c for n, c in enumerate(cand) if n not in (o, i) and self.enough(self.shared(c, cand[o])) and self.enough(self.shared(c, cand[i]))]
+            out += [c for n, c in enumerate(cand) if n not in (o, i) and self.enough(both(n, o)) and self.enough(both(n, i))]
         return out
 
     def rounds(self, seen=None):
-        """The rounds' rows; ``seen`` gets (round, species, count, score) of all that are scored in each round."""
+        """The rounds' rows, the last cell the numbers of the peptides; ``seen`` gets (round, species, count, score) of all that are scored in each round."""
         first = self.score()
-        original = {s: (len(self.left[s]), x) for s, x in first.items()}
+        original = {s: (len(self.left(s)), x) for s, x in first.items()}
         number, now = 0, first
         while now:
-            ranked = sorted(now.items(), key=lambda x: (-x[1], x[0]))
+            ranked = sorted(now.items(), key=lambda x: (-x[1], self.species[x[0]]))
             if seen is not None:
-                seen.extend((number, s, len(self.left[s]), x) for s, x in ranked)
+                seen.extend((number, self.species[s], self.held[s][0], x) for s, x in ranked)
             if ranked[0][1] <= self.threshold(ranked[0][0]):
                 return
             group = self.group(ranked)
-            for s in group:
-                n, x = original.get(s, (len(self.left[s]), now[s]))
-                yield number, s, len(self.left[s]), now[s], n, x, max((self.part(p, s) for p in self.left[s]), default=0.0), sorted(self.left[s])
-            gone = set().union(*(self.left[s] for s in group))
-            for p in gone:
-                for s in self.by_peptide.pop(p, ()):
-                    self.left[s].discard(p)
+            taken = [self.left(s) for s in group]
+            for s, p in zip(group, taken):
+                n, x = original.get(s, (len(p), now[s]))
+                yield number, self.species[s], len(p), now[s], n, x, float(self.parts(s).max()), p
+            for p in taken:
+                self.here[p] = False
             number, now = number + 1, self.score()
 
 
+def _by_sample(links: DataFrame, schema: str, rows, thresholds: dict[str, float] | float, *rules) -> DataFrame:
+    """``rows(Greedy)``, columns without the sample, for each sample; samples run in parallel."""
+    limits = {"": float(thresholds)} if not isinstance(thresholds, dict) else thresholds
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    kept = pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, schema.split(", "))])
+
+    def run(key, table):
+        greedy = Greedy(table.select(["peptide", "species", "weight"]), limits, *rules)
+        del table
+        columns = rows(greedy)
+        n = len(columns[0])
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * n, pa.string()), *[pa.array(c, f.type) for c, f in zip(columns, list(kept)[1:])]], schema=kept)
+
+    return links.select("sample", "peptide", "species", "weight").groupBy("sample").applyInArrow(run, schema)
+
+
+def _columns(rows: list[tuple], n: int) -> list[list]:
+    return [list(c) for c in zip(*rows)] or [[] for _ in range(n)]
+
+
 def deconvolve(links: DataFrame, thresholds: dict[str, float] | float = 0.0, strategy: str = "summation", tie: float = 0.0, overlap: float = 1.0, score_filter: bool = True) -> DataFrame:
     """The report of each sample in ``links (sample, peptide, species, weight)``; samples run in parallel.
 
     A sample's links are those of its enriched peptides, bounded by the assay's library. Ties are ordered by species id.
     """
-    limits = {"": float(thresholds)} if not isinstance(thresholds, dict) else thresholds
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Greedy(list(zip(pdf["peptide"], pdf["species"], pdf["weight"])), limits, strategy, tie, overlap, score_filter)
-        rows = [(pdf["sample"].iloc[0], *r[:-1]) for r in g.rounds()]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in REPORT.split(", ")])
-
-    return links.select("sample", "peptide", "species", "weight").groupBy("sample").applyInPandas(run, REPORT)
+    return _by_sample(links, REPORT, lambda g: _columns([r[:-1] for r in g.rounds()], 7), thresholds, strategy, tie, overlap, score_filter)
 
 
 def assignments(links: DataFrame, thresholds: dict[str, float] | float = 0.0, strategy: str = "summation", tie: float = 0.0, overlap: float = 1.0, score_filter: bool = True) -> DataFrame:
     """``(sample, peptide, species)``: the species whose round took the peptide."""
-    limits = {"": float(thresholds)} if not isinstance(thresholds, dict) else thresholds
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Greedy(list(zip(pdf["peptide"], pdf["species"], pdf["weight"])), limits, strategy, tie, overlap, score_filter)
-        return pd.DataFrame([(pdf["sample"].iloc[0], p, r[1]) for r in g.rounds() for p in r[-1]], columns=["sample", "peptide", "species"])
+    def taken(g: Greedy) -> list:
+        found = [(r[1], r[-1]) for r in g.rounds()]
+        if not found:
+            return [[], []]
+        species = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(found), dtype=np.int32), [len(p) for _, p in found]), pa.array([s for s, _ in found], pa.string()))
+        return [g.names[0].take(pa.array(np.concatenate([p for _, p in found]))), species.cast(pa.string())]
 
-    return links.select("sample", "peptide", "species", "weight").groupBy("sample").applyInPandas(run, "sample string, peptide string, species string")
+    return _by_sample(links, "sample string, peptide string, species string", taken, thresholds, strategy, tie, overlap, score_filter)
 
 
 def round_scores(links: DataFrame, thresholds: dict[str, float] | float = 0.0, strategy: str = "summation", tie: float = 0.0, overlap: float = 1.0, score_filter: bool = True) -> DataFrame:
     """``(sample, round, species, count, score)``: all species that are scored in each round, the last one, which takes none, included."""
-    limits = {"": float(thresholds)} if not isinstance(thresholds, dict) else thresholds
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, seen = Greedy(list(zip(pdf["peptide"], pdf["species"], pdf["weight"])), limits, strategy, tie, overlap, score_filter), []
+    def scored(g: Greedy) -> list:
+        seen: list = []
         for _ in g.rounds(seen):
             pass
-        return pd.DataFrame([(pdf["sample"].iloc[0], *r) for r in seen], columns=["sample", "round", "species", "count", "score"])
+        return _columns(seen, 4)
 
-    return links.select("sample", "peptide", "species", "weight").groupBy("sample").applyInPandas(run, "sample string, round int, species string, count long, score double")
+    return _by_sample(links, "sample string, round int, species string, count long, score double", scored, thresholds, strategy, tie, overlap, score_filter)
 
 
 def report_lines(report: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -3,11 +3,12 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from assayflow.functions import semantics as sem
-from assayflow.operators import demux, extras, link, matrix
+from assayflow.operators import deconv, demux, extras, link, matrix
 from assayflow.sources import tables
 
 
@@ -152,3 +153,21 @@ def test_taxa_are_counted_once_for_repeated_rows(spark):
     assert sorted(map(tuple, extras.taxa_by_file(found, links).collect())) == [("s", "1", 2), ("s", "2", 1)]
     assert "distinct" not in extras.taxa_by_file(found, links)._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["species"], r["n"], r["expected"]) for r in extras.taxon_poisson(found, links).collect()) == [("1", 2, 2.0), ("2", 1, 1.0)]
+
+
+def test_candidates_share_what_their_peptides_share():
+    rng = np.random.default_rng(4)
+    rows = sorted({(f"p{rng.integers(200)}", f"t{rng.integers(6)}") for _ in range(500)})
+    weight = {r: float(rng.integers(1, 9)) / 4 for r in rows}
+    links = pa.table({"peptide": [p for p, _ in rows], "species": [s for _, s in rows], "weight": [weight[r] for r in rows]})
+    for strategy in ("summation", "integer", "fraction"):
+        g = deconv.Greedy(links, {}, strategy, 0.9, 0.5, True)
+        of = {s: {p for p, t in rows if t == s} for s in g.species}
+        part = {"integer": lambda p, s: 1.0, "fraction": lambda p, s: 1 / sum(p in x for x in of.values()), "summation": lambda p, s: weight[p, s]}[strategy]
+        assert {g.species[s]: round(x, 9) for s, x in g.score().items()} == {s: round(sum(part(p, s) for p in x), 9) for s, x in of.items()}
+        got = g.shared(list(range(len(g.species))))
+        for i, a in enumerate(g.species):
+            for j, b in enumerate(g.species):
+                both, every = of[a] & of[b], of[a]
+                want = sum(weight[p, a] for p in both) / sum(weight[p, a] for p in every) if strategy == "summation" else len(both) / len(every)
+                assert got[i, j] == pytest.approx(want)
